@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+from rowlens.llm import jaccard, mixing, topk, url_filter
 from rowlens.llm.token_counts import op10_token_counts
 from rowlens.llm.token_files import op4_token_files
 
 QUERIES = {
+    "op1_mix_sources": mixing.op1_mix_sources,
+    "op3_top_k": topk.op3_top_k,
     "op4_token_files": op4_token_files,
+    "op6_jaccard_join": jaccard.op6_jaccard_join,
+    "op9_url_filter": url_filter.op9_url_filter,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+#: op4 and op10 need a tokenizer, which SQL has not; tests/llm checks them
+#: against the library itself.
+ORACLES: dict[str, str] = {
+    "op1_mix_sources": mixing.ORACLE,
+    "op3_top_k": topk.ORACLE,
+    "op6_jaccard_join": jaccard.ORACLE,
+    "op9_url_filter": url_filter.ORACLE,
+}
