@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rowlens.llm import jaccard, mixing, topk, url_filter
+from rowlens.llm import jaccard, mixing, topk, toxicity, url_filter
 from rowlens.llm.token_counts import op10_token_counts
 from rowlens.llm.token_files import op4_token_files
 
@@ -11,6 +11,7 @@ QUERIES = {
     "op3_top_k": topk.op3_top_k,
     "op4_token_files": op4_token_files,
     "op6_jaccard_join": jaccard.op6_jaccard_join,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_token_counts": op10_token_counts,
 }

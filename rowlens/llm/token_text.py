@@ -131,7 +131,7 @@ class _Table(dict):
     def look_up(self, cut: list[list[str]], add) -> list:
         """add(values of the pieces) for each list of pieces."""
         asked = set().union(*cut)
-        new = asked - self.keys()
+        new = {p for p in asked if p not in self}
         self.hits, self.asked = self.hits + len(asked) - len(new), self.asked + len(asked)
         if len(self) > TABLE_ENTRIES // 2 and self.asked > TABLE_ENTRIES and self.hits < self.asked // 4:
             self.clear()  # the texts have changed
