@@ -121,17 +121,16 @@ def _full_sets(docs: DataFrame, n: int, id_col: str, text_col: str, wanted: Data
 
 
 def _overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
-    """(a, b, overlap): counted in each fragment, then summed."""
-    left = pairs.join(segments.select(F.col("key").alias("a"), "fragment", F.col("part").alias("part_a")), "a")
-    right = segments.select(F.col("key").alias("b"), "fragment", F.col("part").alias("part_b"))
-    both = left.join(right, ["b", "fragment"])
-    return both.groupBy("a", "b").agg(F.sum(F.size(F.array_intersect("part_a", "part_b"))).alias("overlap"))
+    """(pairs, overlap): counted in each fragment, then summed."""
+    both = pairs.join(segments.select(F.col("key").alias("a"), F.col("parts").alias("parts_a")), "a")
+    both = both.join(segments.select(F.col("key").alias("b"), F.col("parts").alias("parts_b")), "b")
+    counts = F.zip_with("parts_a", "parts_b", lambda x, y: F.size(F.array_intersect(x, y)))
+    return both.withColumn("overlap", F.aggregate(counts, F.lit(0), lambda n, k: n + k)).drop("parts_a", "parts_b")
 
 
 def _links(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, na, b, nb) that reach the threshold."""
-    sizes = pairs.select("a", "na", "b", "nb")
-    got = _overlaps(pairs.select("a", "b"), segments).join(sizes, ["a", "b"])
+    got = _overlaps(pairs, segments)
     return got.where(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b")
 
 
@@ -162,11 +161,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     ranked = shared.withColumn("rank", F.row_number().over(order)).withColumn("shared", F.count("*").over(Window.partitionBy("key")))
     least = F.ceil(F.col("n") * percent / F.lit(100.0))
     keys = ranked.where((100 * F.col("shared") >= percent * F.col("n")) & (F.col("rank") <= F.col("shared") - least + 1))
-    keys = stored(keys.select("key", "n", "h", "rank"), "jaccard-keys")
+    keys = stored(keys.select("key", "n", "shared", "h", "rank"), "jaccard-keys")
     in_use = sets.join(keys.select("key").distinct(), "key", "left_semi")
     inside = lambda f: F.filter("set", lambda h: F.shiftrightunsigned(h, 64 - FRAGMENTS.bit_length() + 1) == f)
-    parts = F.posexplode(F.array(*map(inside, range(FRAGMENTS)))).alias("fragment", "part")
-    segments = stored(in_use.select("key", parts).where(F.size("part") > 0), "jaccard-segments")
+    segments = stored(in_use.select("key", F.array(*map(inside, range(FRAGMENTS))).alias("parts")), "jaccard-segments")
 
     # 3 and 4: leaders against holders outside their component, until none is left
     comp = _connect(keys, segments, percent)
@@ -179,21 +177,26 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
 
 def _connect(keys: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     """(key, comp) of the classes that link with another."""
-    alike = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    # at the first shingle that two sets share, neither what no other class has
+    # nor what comes before it in the order can overlap; a pair that shares an
+    # earlier one is looked at there
+    most = F.least("sa", "sb")
+    alike = 100 * most >= percent * (F.col("na") + F.col("nb") - most)
 
     def candidates(held: DataFrame, leaders: DataFrame) -> DataFrame:
-        p = held.select("h", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb")).join(leaders, "h")
+        p = held.select("h", F.col("key").alias("b"), F.col("n").alias("nb"), (F.col("shared") - F.col("rank") + 1).alias("sb"), F.col("comp").alias("cb")).join(leaders, "h")
         p = p.where((F.col("ca") != F.col("cb")) & alike)
         return p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct()
 
     def lead(held: DataFrame, salts: int) -> DataFrame:
         salt = F.pmod(F.xxhash64("key"), F.lit(salts))
-        top = F.min(F.struct("key", "n", "comp"))
-        return held.groupBy("h", salt.alias("salt")).agg(top.alias("l")).select("h", F.col("l.key").alias("a"), F.col("l.n").alias("na"), F.col("l.comp").alias("ca"))
+        top = F.min(F.struct("key", "n", "shared", "rank", "comp"))
+        return held.groupBy("h", salt.alias("salt")).agg(top.alias("l")).select("h", F.col("l.key").alias("a"), F.col("l.n").alias("na"), (F.col("l.shared") - F.col("l.rank") + 1).alias("sa"), F.col("l.comp").alias("ca"))
 
     alone = keys.withColumn("comp", F.col("key"))
     first = alone.where(F.col("rank") <= FIRST_KEYS)
-    links = cut(_links(candidates(first, lead(first, 1)), segments, percent))
+    tried = cut(candidates(first, lead(first, 1)))
+    links = cut(_links(tried, segments, percent))
     comp, led, salts = components(links), None, 1
     while True:
         now = keys.join(comp.select(F.col("node").alias("key"), F.col("component").alias("comp")), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
@@ -203,7 +206,9 @@ def _connect(keys: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
         if held.isEmpty():
             return comp.select(F.col("node").alias("key"), F.col("component").alias("comp"))
         leaders = lead(held, salts)
-        found = _links(candidates(held, leaders), segments, percent)
+        fresh = cut(candidates(held, leaders).join(tried, ["a", "b"], "left_anti"))
+        found = _links(fresh, segments, percent)
+        tried = tried.unionByName(fresh.select(tried.columns))
         new = leaders.select("h", F.col("a").alias("key"))
         led = cut(new if led is None else led.unionByName(new))
         links = cut(links.unionByName(found).distinct())
