@@ -27,7 +27,7 @@ from rowlens.llm.common import stored, table, word_count
 
 SLICES = 1024
 #: Finish times in the last slice that is sorted to find the cut.
-CUT_ROWS = 1_000_000
+CUT_ROWS = 10_000
 
 
 def targets(sizes: dict, weights=(5, 2, 1), share: float = 1.5, most: int = 2) -> dict:
