@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rowlens.llm import jaccard, mixing, topk, toxicity, url_filter
+from rowlens.llm import decontaminate, jaccard, mixing, quotes, topk, toxicity, url_filter
 from rowlens.llm.token_counts import op10_token_counts
 from rowlens.llm.token_files import op4_token_files
 
@@ -10,17 +10,21 @@ QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op3_top_k": topk.op3_top_k,
     "op4_token_files": op4_token_files,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_jaccard_join": jaccard.op6_jaccard_join,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_link_quotes": quotes.op8_link_quotes,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_token_counts": op10_token_counts,
 }
 
-#: op4 and op10 need a tokenizer, which SQL has not; tests/llm checks them
-#: against the library itself.
+#: op4 and op10 need a tokenizer and op7 a compressor, which SQL has not;
+#: tests/llm checks them against the libraries and by held-out labels.
 ORACLES: dict[str, str] = {
     "op1_mix_sources": mixing.ORACLE,
     "op3_top_k": topk.ORACLE,
+    "op5_decontaminate": decontaminate.ORACLE,
     "op6_jaccard_join": jaccard.ORACLE,
+    "op8_link_quotes": quotes.ORACLE,
     "op9_url_filter": url_filter.ORACLE,
 }

@@ -203,6 +203,19 @@ def toxicity_scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
 
 
+def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", below: float = 0.5) -> DataFrame:
+    """The rows whose score is below a bound, unchanged."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        pair = model.pair()
+        for batch in batches:
+            keep = [model.score(gains(t.as_py(), *pair)) < below for t in batch.column(at)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op7_toxicity(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scores = toxicity_scores(docs, fit(docs, table(spark, sf_dir, "labels")))
