@@ -48,6 +48,8 @@ BLOOM_BITS = 1 << 26
 BLOOM_KEYS = 3
 #: Rarest shared shingles of each set that the first, cheap round looks at.
 FIRST_KEYS = 2
+#: Leaders of a shingle in the first full round; each further one has so many times more.
+FIRST_SALTS = 8
 
 
 def _sets(texts: pa.Array, n: int):
@@ -161,13 +163,17 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     ranked = shared.withColumn("rank", F.row_number().over(order)).withColumn("shared", F.count("*").over(Window.partitionBy("key")))
     least = F.ceil(F.col("n") * percent / F.lit(100.0))
     keys = ranked.where((100 * F.col("shared") >= percent * F.col("n")) & (F.col("rank") <= F.col("shared") - least + 1))
-    keys = stored(keys.select("key", "n", "shared", "h", "rank"), "jaccard-keys")
-    in_use = sets.join(keys.select("key").distinct(), "key", "left_semi")
+    keys = keys.select("key", "n", "shared", "h", "rank")
+    named = stored(keys.select("key").distinct().select("key", F.monotonically_increasing_id().alias("no")), "jaccard-names")
+    keys = stored(keys.join(named, "key").drop("key").withColumnRenamed("no", "key"), "jaccard-keys")
+    in_use = sets.join(named, "key").drop("key").withColumnRenamed("no", "key")
     inside = lambda f: F.filter("set", lambda h: F.shiftrightunsigned(h, 64 - FRAGMENTS.bit_length() + 1) == f)
     segments = stored(in_use.select("key", F.array(*map(inside, range(FRAGMENTS))).alias("parts")), "jaccard-segments")
 
     # 3 and 4: leaders against holders outside their component, until none is left
     comp = _connect(keys, segments, percent)
+    comp = comp.join(named.select(F.col("no").alias("comp"), F.col("key").alias("first")), "comp").join(named.select(F.col("no").alias("key"), F.col("key").alias("name")), "key")
+    comp = comp.select(F.col("name").alias("key"), F.col("first").alias("comp"))
     least_id = classes.join(comp, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     group = least_id.groupBy("comp").agg(F.min("id").alias("component_id"))
     named = least_id.join(group, "comp").select("key", "component_id")
@@ -193,26 +199,29 @@ def _connect(keys: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
         top = F.min(F.struct("key", "n", "shared", "rank", "comp"))
         return held.groupBy("h", salt.alias("salt")).agg(top.alias("l")).select("h", F.col("l.key").alias("a"), F.col("l.n").alias("na"), (F.col("l.shared") - F.col("l.rank") + 1).alias("sa"), F.col("l.comp").alias("ca"))
 
+    def current(held: DataFrame, comp: DataFrame) -> DataFrame:
+        labels = comp.select(F.col("node").alias("key"), F.col("component").alias("comp"))
+        return held.drop("comp").join(labels, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+
     alone = keys.withColumn("comp", F.col("key"))
     first = alone.where(F.col("rank") <= FIRST_KEYS)
     tried = cut(candidates(first, lead(first, 1)))
     links = cut(_links(tried, segments, percent))
-    comp, led, salts = components(links), None, 1
+    comp, waiting, salts = components(links), keys, FIRST_SALTS
     while True:
-        now = keys.join(comp.select(F.col("node").alias("key"), F.col("component").alias("comp")), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-        waiting = now if led is None else now.join(led, ["h", "key"], "left_anti")
-        active = waiting.groupBy("h").agg(F.min("comp").alias("c"), F.max("comp").alias("d")).where("c != d").select("h")
-        held = stored(waiting.join(active, "h", "left_semi"), "jaccard-held")
+        # a shingle whose waiting holders are in one component stays so
+        now = current(waiting, comp)
+        active = now.groupBy("h").agg(F.min("comp").alias("c"), F.max("comp").alias("d")).where("c != d").select("h")
+        held = stored(now.join(active, "h", "left_semi"), "jaccard-held")
         if held.isEmpty():
             return comp.select(F.col("node").alias("key"), F.col("component").alias("comp"))
         leaders = lead(held, salts)
         fresh = cut(candidates(held, leaders).join(tried, ["a", "b"], "left_anti"))
         found = _links(fresh, segments, percent)
         tried = tried.unionByName(fresh.select(tried.columns))
-        new = leaders.select("h", F.col("a").alias("key"))
-        led = cut(new if led is None else led.unionByName(new))
-        links = cut(links.unionByName(found).distinct())
-        comp, salts = components(links), salts * 4
+        links = cut(links.unionByName(found))
+        waiting = held.join(leaders.select("h", F.col("a").alias("key")), ["h", "key"], "left_anti")
+        comp, salts = components(links), salts * FIRST_SALTS
 
 
 def op6_jaccard_join(spark, sf_dir) -> DataFrame:
