@@ -19,12 +19,12 @@ could not settle go on to the next, finer one:
    strings; those with a smaller document go. These pointers, and those of
    step 2, update the documents' masks, from which the bytes are cut.
 
-Within each Arrow batch the rounds 1 and 2 are run first: one representative
-of a bucket leaves a batch, and what is settled there is passed through. So a
-passage that a third of all documents share is one entry for each batch. Runs
-travel as packed arrays of 13 bytes each, about a sixteenth as many as bytes;
-a fragment of the anchor order is one group of bounded size. Strings of open
-runs are counted before they are shuffled. Texts are shuffled once, by row.
+Within each batch every round is run first: one representative of a bucket
+leaves a batch, and what is settled there is passed through. So a passage that
+a third of all documents share is one entry for each batch. Runs and strings
+travel as packed arrays, runs about a sixteenth as many as bytes; a fragment
+of the hash order is one group, and the number of fragments grows with the
+input. Texts are shuffled once, by row.
 
 Texts are UTF-8 bytes, null is empty, matches never cross documents. Rows with
 equal ids don't remove from each other; rows without an id keep all and remove
@@ -38,18 +38,22 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowlens.llm.common import stored, table
 from rowlens.llm.shingles import _mix
+from rowlens.llm.token_text import slabs
 
 LENGTH, GRAM = 50, 20
 #: Strings that start in one piece of a text.
 PIECE = 1 << 15
 #: Bytes of text whose runs make one fragment.
-FRAGMENT_BYTES = 32 << 20
+FRAGMENT_BYTES = 6 << 20
+#: Bytes of text, and open strings, that a Python worker holds at a time.
+HELD_BYTES, HELD_STRINGS = 3 << 20, 50_000
 
 _B = np.uint64(0x9E3779B97F4A7C15)
 _BYTES = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
@@ -133,8 +137,8 @@ def _scan(fragments: int):
     """Rows of texts to packed runs by fragment, and what is settled in the batch."""
     def run(batches):
         for whole in batches:
-            for start in range(0, whole.num_rows, 4000):
-                batch = whole.slice(start, 4000)
+            for start, end in slabs([n or 0 for n in pc.binary_length(whole.column(2)).to_pylist()], HELD_BYTES):
+                batch = whole.slice(start, end - start)
                 ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
                 rows, qs, bs, docs, nos, parts = np.argsort(ids, kind="stable"), [], [], [], [], []
                 marks = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -200,10 +204,14 @@ def _refine(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     q, b, number, doc, mark, part = map(np.concatenate, cols)
     goes, stays, _, _ = _settle(q, b, doc, (number & _OPEN) != 0)
     no = (number & (_OPEN - 1)).astype(np.int64)
-    pairs = np.stack([doc, mark], 1)
-    kinds, row = np.unique(pairs, axis=0, return_inverse=True)
-    row = row.ravel()
-    found = [(int(kinds[r, 0]), int(kinds[r, 1]), k, g, o) for r, k, g, o in _by_piece(row, part.astype(np.int64), no, goes, stays)]
+    at = np.flatnonzero(goes | stays)
+    doc, mark, part, no, goes, stays = (c[at] for c in (doc, mark, part.astype(np.int64), no, goes, stays))
+    order = np.lexsort((mark, doc))
+    new = np.concatenate([[True], (np.diff(doc[order]) != 0) | (np.diff(mark[order]) != 0)]) if len(order) else np.empty(0, bool)
+    row = np.empty(len(order), np.int64)
+    row[order] = np.cumsum(new) - 1
+    firsts = order[new]
+    found = [(int(doc[firsts[r]]), int(mark[firsts[r]]), k, g, o) for r, k, g, o in _by_piece(row, part, no, goes, stays)]
     return pd.concat([passed, pd.DataFrame(found, columns=["doc", "mark", "piece", "goes", "open"])])
 
 
@@ -214,25 +222,97 @@ def _numbers(parts) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join(p for p in parts if p), "<u2").astype(np.int64))
 
 
-def _open_strings(batches):
-    """Hashes of the strings of open runs: (doc, mark, h, at)."""
-    for batch in batches:
-        for j in range(batch.num_rows):
-            doc, mark, text, flags = (batch.column(i)[j].as_py() for i in range(4))
-            held = {f["piece"]: f for f in flags}
-            hs, at = [], []
-            for k, raw in pieces(text.encode("utf-8", "surrogatepass")):
-                if k not in held:
-                    continue
-                no = np.setdiff1d(_numbers(held[k]["open"]), _numbers(held[k]["goes"]))
-                if not len(no):
-                    continue
-                lo, hi, _, _ = runs(np.frombuffer(raw, np.uint8))
-                for a, z in zip(lo[no].tolist(), hi[no].tolist(), strict=True):
-                    hs.extend(xxhash.xxh3_64_intdigest(raw[p : p + LENGTH]) for p in range(a, z + 1))
-                    at.extend(range(k * PIECE + a, k * PIECE + z + 1))
-            n = len(hs)
-            yield pa.RecordBatch.from_arrays([pa.array([doc] * n, pa.int64()), pa.array([mark] * n, pa.int64()), pa.array(np.array(hs, np.uint64).view(np.int64)), pa.array(at, pa.int64())], names=["doc", "mark", "h", "at"])
+def _open_strings(fragments: int):
+    """Strings of open runs, packed by fragment; those that go within a batch."""
+    def run(batches):
+        held = _Strings(fragments)
+        for batch in batches:
+            for j in range(batch.num_rows):
+                doc, mark, text, flags = (batch.column(i)[j].as_py() for i in range(4))
+                by_piece = {f["piece"]: f for f in flags if any(f["open"])}
+                for k, raw in pieces(text.encode("utf-8", "surrogatepass")) if by_piece else ():
+                    if k not in by_piece:
+                        continue
+                    no = np.setdiff1d(_numbers(by_piece[k]["open"]), _numbers(by_piece[k]["goes"]))
+                    if len(no):
+                        lo, hi, _, _ = runs(np.frombuffer(raw, np.uint8))
+                        n = hi[no] - lo[no] + 1
+                        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[no], n)
+                        held.add(doc, mark, [xxhash.xxh3_64_intdigest(raw[p : p + LENGTH]) for p in at.tolist()], at + k * PIECE)
+                if held.n >= HELD_STRINGS:
+                    yield held.batch()
+                    held = _Strings(fragments)
+        if held.n:
+            yield held.batch()
+
+    return run
+
+
+class _Strings:
+    """Open strings of a batch: hash, place, and number of their row."""
+
+    def __init__(self, fragments: int):
+        self.fragments, self.n, self.rows, self.hs, self.ats, self.nos = fragments, 0, {}, [], [], []
+
+    def add(self, doc, mark, h, at):
+        self.n += len(at)
+        self.hs.append(np.array(h, np.uint64))
+        self.ats.append(at)
+        self.nos.append(np.full(len(at), self.rows.setdefault((doc, mark), len(self.rows))))
+
+    def batch(self) -> pa.RecordBatch:
+        h, at, no = map(np.concatenate, (self.hs, self.ats, self.nos))
+        docs, marks = (np.array(c, np.int64) for c in zip(*self.rows, strict=True))
+        goes = _later(h, docs[no])
+        send = np.flatnonzero(~goes)
+        send = send[np.argsort(h[send] % np.uint64(self.fragments), kind="stable")]
+        frag = (h[send] % np.uint64(self.fragments)).astype(np.int64)
+        out = []
+        for s in np.split(send, np.flatnonzero(np.diff(frag)) + 1):
+            if len(s):
+                own, local = np.unique(no[s], return_inverse=True)
+                packed = b"".join([len(s).to_bytes(8, "little"), len(own).to_bytes(8, "little"), h[s].astype("<u8").tobytes(), at[s].astype("<u4").tobytes(), local.ravel().astype("<u4").tobytes(), docs[own].astype("<i8").tobytes(), marks[own].astype("<i8").tobytes()])
+                out.append((int(h[s[0]] % np.uint64(self.fragments)), packed, 0, 0, None))
+        out.extend((int(docs[r]) % self.fragments, None, int(docs[r]), int(marks[r]), places) for r, places in _by_row(no, at, goes))
+        cols = list(zip(*out, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["fragment", "packed", "doc", "mark", "at"])
+
+
+def _later(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether a string also is in a smaller document of the batch."""
+    order = np.lexsort((doc, h))
+    new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
+    out = np.empty(len(h), bool)
+    out[order] = doc[order] != doc[order][new][np.cumsum(new) - 1]
+    return out
+
+
+def _by_row(no, at, goes):
+    """(row number, places as bytes) of the strings that go."""
+    s = np.flatnonzero(goes)
+    s = s[np.argsort(no[s], kind="stable")]
+    for part in np.split(s, np.flatnonzero(np.diff(no[s])) + 1) if len(s) else ():
+        yield int(no[part[0]]), at[part].astype("<u4").tobytes()
+
+
+def _later_strings(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+    """(doc, mark, at): strings of a fragment that also are in a smaller document."""
+    passed = frame[frame["packed"].isna()][["doc", "mark", "at"]]
+    hs, ats, nos, docs, marks, base = [], [], [], [], [], 0
+    for raw in frame["packed"].dropna():
+        n, m = (int.from_bytes(raw[i : i + 8], "little") for i in (0, 8))
+        h, at, no, doc, mark = (np.frombuffer(raw, t, c, o) for t, c, o in (("<u8", n, 16), ("<u4", n, 16 + 8 * n), ("<u4", n, 16 + 12 * n), ("<i8", m, 16 + 16 * n), ("<i8", m, 16 + 16 * n + 8 * m)))
+        hs.append(h)
+        ats.append(at)
+        nos.append(no.astype(np.int64) + base)
+        docs.append(doc)
+        marks.append(mark)
+        base += m
+    if not hs:
+        return passed
+    h, at, no, doc, mark = map(np.concatenate, (hs, ats, nos, docs, marks))
+    found = [(int(doc[r]), int(mark[r]), places) for r, places in _by_row(no, at, _later(h, doc[no]))]
+    return pd.concat([passed, pd.DataFrame(found, columns=["doc", "mark", "at"])])
 
 
 def _cut_texts(batches):
@@ -250,9 +330,10 @@ def _cut_texts(batches):
                     lo, hi, _, _ = runs(np.frombuffer(part, np.uint8))
                     np.add.at(edge, lo[no] + k * PIECE, 1)
                     np.add.at(edge, hi[no] + LENGTH + k * PIECE, -1)
-            for p in single or ():
-                edge[p] += 1
-                edge[p + LENGTH] -= 1
+            if single:
+                at = np.unique(np.frombuffer(b"".join(single), "<u4").astype(np.int64))
+                np.add.at(edge, at, 1)
+                np.add.at(edge, at + LENGTH, -1)
             gone = np.cumsum(edge[:-1]) > 0
             kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
             spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
@@ -275,10 +356,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     flags = stored(flags.groupBy("doc", "mark").agg(F.collect_list(F.struct("piece", "goes", "open")).alias("flags")), "repeat-flags")
 
     held = texts.join(flags, ["doc", "mark"]).select("doc", "mark", "text", "flags")
-    strings = held.mapInArrow(_open_strings, "doc long, mark long, h long, at long")
-    least = strings.groupBy("h").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("h", "least")
-    single = strings.join(least, "h").where("least < doc").groupBy("doc", "mark").agg(F.collect_set("at").alias("single"))
-    single = stored(single, "repeat-strings")
+    strings = held.mapInArrow(_open_strings(fragments), "fragment int, packed binary, doc long, mark long, at binary")
+    later = strings.groupBy("fragment").applyInPandas(_later_strings, "doc long, mark long, at binary")
+    single = stored(later.groupBy("doc", "mark").agg(F.collect_list("at").alias("single")), "repeat-strings")
     cut = held.join(single, ["doc", "mark"], "left").select("doc", "mark", "text", "flags", "single")
     cut = cut.mapInArrow(_cut_texts, "doc long, mark long, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["doc", "mark"])
     every = rows.select("doc", "mark", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
