@@ -151,6 +151,8 @@ def _elements(t: _Text):
         v = t.value()
         if _depth(v) > MAX_DEPTH:
             raise Stop("record_too_deep")
+        if not isinstance(v, (dict, list, str)) and not t.peek() and t.raw.cut:
+            raise Stop("byte_limit")  # the scalar may go on beyond the budget
         yield v
         if t.take("]"):
             return
