@@ -46,8 +46,10 @@ def duck(sf):
 
 def rows(pandas_frame):
     """Rows as sorted tuples of text, for comparison."""
+    import pandas as pd
+
     def show(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v is pd.NaT or v != v:
             return ""
         return f"{v:.9g}" if isinstance(v, float) else str(v)
 
