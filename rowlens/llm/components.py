@@ -11,30 +11,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowlens.llm.common import cut
+from rowlens.llm.common import cut, sized
 
 
 def _mark(edges: DataFrame):
     return edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", rows: int | None = None) -> DataFrame:
     """(node, component) of every node that an edge joins to another one.
 
-    component is the smallest node reachable. Loops, repeated edges and null
+    rows: the number of edges, where it is known. component is the smallest node reachable. Loops, repeated edges and null
     ends are ignored; no edges give an empty table.
     """
     kind = edges.schema[a].dataType
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), F.col(a).alias("x"), F.col(b).alias("y"))
-    e = cut(e.where("x != y").select("u", "v").distinct())
+    e = e.where("x != y").select("u", "v").distinct()
+    e = cut(e if rows is None else sized(e, rows))
     seen = _mark(e)
+    fit = lambda df: sized(df, 2 * seen[0])
     while seen[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = fit(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        e = cut(fit(fit(small.unionByName(low.select("u", F.col("m").alias("v")))).distinct()))
         now = _mark(e)
         if now == seen:
             break

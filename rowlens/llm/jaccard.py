@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowlens.llm.common import cut, stored, table
+from rowlens.llm.common import cut, sized, stored, table
 from rowlens.llm.components import components
 from rowlens.llm.shingles import fingerprints, words
 
@@ -205,23 +205,27 @@ def _connect(keys: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
 
     alone = keys.withColumn("comp", F.col("key"))
     first = alone.where(F.col("rank") <= FIRST_KEYS)
-    tried = cut(candidates(first, lead(first, 1)))
-    links = cut(_links(tried, segments, percent))
-    comp, waiting, salts = components(links), keys, FIRST_SALTS
+    n = first.count()
+    tried = cut(sized(candidates(first, lead(first, 1)), n))
+    links = cut(sized(_links(tried, segments, percent), n))
+    waiting, left, salts = keys, keys.count(), FIRST_SALTS
+    comp = components(links, rows=n)
     while True:
         # a shingle whose waiting holders are in one component stays so
-        now = current(waiting, comp)
+        now = sized(current(waiting, comp), left)
         active = now.groupBy("h").agg(F.min("comp").alias("c"), F.max("comp").alias("d")).where("c != d").select("h")
-        held = stored(now.join(active, "h", "left_semi"), "jaccard-held")
-        if held.isEmpty():
+        held = stored(sized(now.join(active, "h", "left_semi"), left), "jaccard-held")
+        left = held.count()
+        if not left:
             return comp.select(F.col("node").alias("key"), F.col("component").alias("comp"))
-        leaders = lead(held, salts)
-        fresh = cut(candidates(held, leaders).join(tried, ["a", "b"], "left_anti"))
+        leaders = sized(lead(held, salts), left)
+        fresh = cut(sized(sized(candidates(held, leaders), left).join(tried, ["a", "b"], "left_anti"), left))
         found = _links(fresh, segments, percent)
         tried = tried.unionByName(fresh.select(tried.columns))
-        links = cut(links.unionByName(found))
-        waiting = held.join(leaders.select("h", F.col("a").alias("key")), ["h", "key"], "left_anti")
-        comp, salts = components(links), salts * FIRST_SALTS
+        n = links.count() + left
+        links = cut(sized(links.unionByName(found), n))
+        waiting = sized(held.join(leaders.select("h", F.col("a").alias("key")), ["h", "key"], "left_anti"), left)
+        comp, salts = components(links, rows=n), salts * FIRST_SALTS
 
 
 def op6_jaccard_join(spark, sf_dir) -> DataFrame:
