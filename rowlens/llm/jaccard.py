@@ -207,9 +207,9 @@ def _connect(keys: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     first = alone.where(F.col("rank") <= FIRST_KEYS)
     n = first.count()
     tried = cut(sized(candidates(first, lead(first, 1)), n))
-    links = cut(sized(_links(tried, segments, percent), n))
+    links = cut(_links(tried, segments, percent))
     waiting, left, salts = keys, keys.count(), FIRST_SALTS
-    comp = components(links, rows=n)
+    comp = components(links, rows=links.count())
     while True:
         # a shingle whose waiting holders are in one component stays so
         now = sized(current(waiting, comp), left)
@@ -220,10 +220,10 @@ def _connect(keys: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
             return comp.select(F.col("node").alias("key"), F.col("component").alias("comp"))
         leaders = sized(lead(held, salts), left)
         fresh = cut(sized(sized(candidates(held, leaders), left).join(tried, ["a", "b"], "left_anti"), left))
-        found = _links(fresh, segments, percent)
+        found = cut(_links(fresh, segments, percent))
         tried = tried.unionByName(fresh.select(tried.columns))
-        n = links.count() + left
-        links = cut(sized(links.unionByName(found), n))
+        links = links.unionByName(found)
+        n = links.count()
         waiting = sized(held.join(leaders.select("h", F.col("a").alias("key")), ["h", "key"], "left_anti"), left)
         comp, salts = components(links, rows=n), salts * FIRST_SALTS
 
