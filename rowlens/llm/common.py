@@ -48,12 +48,6 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def sized(df: DataFrame, rows: int, most: int = 1_000_000, each: int = 100_000) -> DataFrame:
-    """A small table of known size in few partitions, so that what follows has
-    few tasks and files; larger tables keep the partitions they have."""
-    return df if rows > most else df.coalesce(max(2, -(-rows // each)))
-
-
 def word_count(text) -> F.Column:
     """Number of words in a text column (null: 0), without Python."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
