@@ -6,6 +6,7 @@ import csv
 import json
 import re
 import xml.etree.ElementTree as ET
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -67,6 +68,27 @@ def xml_value(line: str, tag: str | None):
     return children or [("", e.text or "")]
 
 
+@contextmanager
+def cells_up_to(chars: int):
+    """Let csv read cells of so many characters; its limit holds for the process and is put back."""
+    before = csv.field_size_limit(max(chars, csv.field_size_limit()))
+    try:
+        yield
+    finally:
+        csv.field_size_limit(before)
+
+
+def quoted_rows(lines: list[str], delimiter: str, data: str = "\r") -> list[list[str]]:
+    """Rows of text with quotes. The characters of data are text in and out of quotes:
+    csv cuts rows at them or refuses them, so they pass it as characters the lines don't have."""
+    text = "".join(lines)
+    spare = (c for c in map(chr, range(0xE000, 0x110000)) if c != delimiter and c not in text)
+    swap = {c: next(spare) for c in data if c in text}
+    back = str.maketrans({v: k for k, v in swap.items()})
+    rows = csv.reader([x.translate(str.maketrans(swap)) for x in lines] if swap else lines, delimiter=delimiter)
+    return [[c.translate(back) for c in r] for r in rows] if swap else list(rows)
+
+
 def to_cells(value, columns) -> list[str]:
     if isinstance(value, dict):
         return [as_text(value.get(c)) for c in columns]
@@ -76,14 +98,14 @@ def to_cells(value, columns) -> list[str]:
 def _cells(spec: SourceSpec):
     def one(line: str):
         if spec.kind == "csv":
-            rows = list(csv.reader(line.splitlines(keepends=True), delimiter=spec.delimiter))
-            return rows[0] if rows else []
+            return quoted_rows([line], spec.delimiter, "\r\n")[0]
         v = json_value(line) if spec.kind == "json" else yaml_value(line) if spec.kind == "yaml" else xml_value(line, spec.tag)
         return [line] if v is None else to_cells(v, spec.columns)
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def run(lines: pd.Series) -> pd.Series:
-        return lines.map(one)
+        with cells_up_to(max(map(len, lines), default=0)):
+            return lines.map(one)
 
     return run
 

@@ -18,6 +18,7 @@ from datetime import date, datetime
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from rowlens.sources.decode import cells_up_to
 from rowlens.sources.detect import encoding_of, kind_of
 from rowlens.spec import SourceError
 
@@ -66,11 +67,16 @@ def json_records(text: str) -> list[dict]:
     return _rooted(root, "JSON")
 
 
+def _csv_rows(text: str):
+    with cells_up_to(len(text)):
+        yield from csv.reader(io.StringIO(text, newline=""), strict=True)
+
+
 def csv_records(text: str) -> list[dict]:
     """Comma and quote, first full row as header, all values text; widths must agree."""
     header, out = None, []
     try:
-        for row in csv.reader(io.StringIO(text, newline=""), strict=True):
+        for row in _csv_rows(text):
             if not row:
                 continue
             if header is None:

@@ -1,3 +1,4 @@
+import csv
 import io
 import json
 import xml.etree.ElementTree as ET
@@ -42,6 +43,24 @@ def test_quoted_line_feeds_at_every_split_size(spark, tmp_path):
         assert len(got) == 300 and got[7] == ["n7", 'line 7\nnext "7" \r\nlast']
 
 
+def test_quoted_records_are_cut_at_line_feeds_only(spark, tmp_path):
+    marks = ["\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029", "\r", "\ue000"]
+    body = "".join(f'{i},ab{c}cd,"x{c}\r\n""y{c}",end\n' for i, c in enumerate(marks))
+    for size in (7, 1 << 20):
+        got = lines(open_file(spark, put(tmp_path, "m.csv", body), split_bytes=size, delimiter=",", header=False, quoted=True))
+        assert got == [[str(i), f"ab{c}cd", f'x{c}\r\n"y{c}', "end"] for i, c in enumerate(marks)]
+    stray = lines(open_file(spark, put(tmp_path, "s.csv", 'a,5" x\nb,c"d\ne,"f"\n'), delimiter=",", header=False, quoted=True))
+    assert stray == [["a", '5" x\nb', 'c"d'], ["e", "f"]]
+
+
+def test_cells_longer_than_the_csv_limit(spark, tmp_path):
+    before, long = csv.field_size_limit(), "ab," * 66_667
+    body = f'1,"{long}",x\n2,short,y\n'
+    d = open_file(spark, put(tmp_path, "long.csv", body), split_bytes=1 << 16, delimiter=",", header=False, quoted=True)
+    assert lines(d) == [["1", long, "x"], ["2", "short", "y"]] and csv.field_size_limit() == before
+    assert documents.csv_records(f'a,b\n1,"{long}"\n') == [{"a": "1", "b": long}]
+
+
 def test_header_needs_a_reason(tmp_path):
     assert detect(put(tmp_path, "h.csv", "ad,yas\nali,3\nveli,4\n")).header
     assert not detect(put(tmp_path, "n.csv", "aa,bb\ncc,dd\nee,ff\n")).header
