@@ -38,7 +38,7 @@ def _directed(name: str, descending: bool) -> Column:
 
 
 def _numbered(rows: DataFrame, *order) -> DataFrame:
-    """view_pos for a bounded view (at most 250,000 rows by the callers' checks)."""
+    """view_pos for a bounded view (at most 250,000 rows by the checks of top_k and sort_page)."""
     return rows.withColumn("view_pos", (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
 
 
@@ -74,10 +74,13 @@ def sort_page(rows: DataFrame, spec: SortSpec, start: int, count: int, row_no: s
 
 
 def sort_list(rows: DataFrame, spec: SortSpec, wanted: DataFrame, row_no: str = "row_no") -> DataFrame:
-    """A stable sort of given rows (input_pos, row_no); repeated numbers stay repeated."""
+    """A stable sort of given rows (input_pos, row_no); repeated numbers stay repeated.
+
+    The list may be as long as the table, so it is range-sorted.
+    """
     keyed = rows.select(F.col(row_no).alias("row_no"), sort_key(spec).alias("sort_key"))
     found = wanted.select("input_pos", "row_no").join(keyed, "row_no").where("sort_key is not null")
-    return _numbered(found, _directed("sort_key", spec.descending), "input_pos").select("view_pos", "row_no", "sort_key")
+    return sorted_view(found.orderBy(_directed("sort_key", spec.descending), "input_pos"), "view_pos").select("view_pos", "row_no", "sort_key")
 
 
 def mixed_keys(json: Column) -> list[Column]:
@@ -120,14 +123,15 @@ def sort_mixed(rows: DataFrame, json: str, descending: bool = False, view_pos: s
     return k.orderBy(*order).drop(*names)
 
 
-def sorted_view(ordered: DataFrame, name: str = "new_pos") -> DataFrame:
+def sorted_view(ordered: DataFrame, name: str = "new_pos", keep: bool = True) -> DataFrame:
     """Numbers an ordered DataFrame: counts of its partitions, then their sums.
 
     Every partition is numbered on its own; one row for each comes to the
-    driver.
+    driver. keep=False if what it is made from is persisted already.
     """
     spark = ordered.sparkSession
-    marked = ordered.withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id()).persist()
+    marked = ordered.withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id())
+    marked = marked.persist() if keep else marked
     counts = sorted((r["_part"], r["count"]) for r in marked.groupBy("_part").count().collect())
     bases, base = [], 0
     for part, n in counts:

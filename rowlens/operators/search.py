@@ -12,7 +12,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowlens.spec import PREVIEW_BYTES, SearchSpec
+from rowlens.operators.order import sorted_view
+from rowlens.spec import HIT_ROWS, PREVIEW_BYTES, SearchSpec
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -124,18 +125,25 @@ def search_hits(rows: DataFrame, spec: SearchSpec, row_no: str = "row_no", raw:
     """(hit_no, row_no, position, preview, cut): the first spec.limit occurrences.
 
     position counts bytes from the line's start. The preview holds the line's
-    first bytes, an incomplete character at its end replaced.
+    first bytes, an incomplete character at its end replaced. Beyond HIT_ROWS
+    rows are range-sorted and their hits numbered by the counts of their partitions.
     """
     p = Pattern(spec)
     held = rows.where(p.matches(F.col(raw)))
     if start_row is not None:
         held = held.where(F.col(row_no) >= start_row)
-    each = held.select(F.col(row_no).alias("row_no"), F.explode(p.positions(F.col(raw))).alias("position"), F.col(raw).alias("_raw"))
-    first = each.orderBy("row_no", "position").limit(spec.limit)
-    size = F.octet_length("_raw")
-    preview = F.make_valid_utf8(F.substring(F.col("_raw").cast("binary"), 1, PREVIEW_BYTES).cast("string"))
-    number = (F.row_number().over(Window.orderBy("row_no", "position")) - 1).cast("long")
-    return first.select(number.alias("hit_no"), "row_no", "position", F.when(size > PREVIEW_BYTES, preview).otherwise(F.col("_raw")).alias("preview"), (size > PREVIEW_BYTES).alias("cut"))
+    size = F.octet_length(raw)
+    preview = F.make_valid_utf8(F.substring(F.col(raw).cast("binary"), 1, PREVIEW_BYTES).cast("string"))
+    shown = F.when(size > PREVIEW_BYTES, preview).otherwise(F.col(raw))
+    found = lambda of: of.select("row_no", F.explode("at").alias("position"), "preview", "cut")
+    columns = F.col(row_no).alias("row_no"), p.positions(F.col(raw)).alias("at"), shown.alias("preview"), (size > PREVIEW_BYTES).alias("cut")
+    if spec.limit > HIT_ROWS:
+        dealt = held.repartitionByRange(row_no).sortWithinPartitions(row_no).select(*columns).persist()
+        numbered = sorted_view(found(dealt), "hit_no", keep=False).where(F.col("hit_no") < spec.limit)
+    else:
+        first = found(held.select(*columns)).orderBy("row_no", "position").limit(spec.limit)
+        numbered = first.withColumn("hit_no", (F.row_number().over(Window.orderBy("row_no", "position")) - 1).cast("long"))
+    return numbered.select("hit_no", "row_no", "position", "preview", "cut")
 
 
 def step(hits: int, current: int, forward: bool = True) -> int:
@@ -169,7 +177,5 @@ def search_store(records: DataFrame, query: str, values: str, raw_json: str, vie
         return records.limit(0).select(F.lit(0).cast("long").alias("hit_no"), F.col(view_pos).alias("view_pos"), F.col(row_id).alias("row_id"))
     held = records.where(F.contains(raw_json, F.lit(query))) if safe_in_json(query) else records
     held = held.where(F.exists(values, lambda v: F.contains(v, F.lit(query))))
-    from rowlens.operators.order import sorted_view
-
     ordered = held.select(F.col(view_pos).alias("view_pos"), F.col(row_id).alias("row_id")).orderBy("view_pos")
     return sorted_view(ordered, "hit_no").select("hit_no", "view_pos", "row_id")
