@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings by bucket-pointer refinement.
+"""Removal of repeated byte strings by minimizer anchors and hash comparison, in place of bucket-pointer refinement.
 
 A byte goes if a string of LENGTH bytes over it also starts in a document with
 a smaller id. Sorting every suffix of a corpus is out of reach, so buckets are
