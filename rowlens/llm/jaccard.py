@@ -1,8 +1,7 @@
-"""N-gram Jaccard join by vertical partitioning.
+"""N-gram Jaccard join by prefix filtering with leaders, in place of vertical partitioning.
 
-The global order of shingles (by fingerprint) is cut into FRAGMENTS ranges, so
-each document's set falls into segments whose overlaps with another document's
-segments are counted apart and summed for each pair.
+Shingles (by fingerprint) are cut into FRAGMENTS ranges of hash values. The
+segments of a set stay in its row; only step 1 groups by fragments.
 
 1. Texts become sets of fingerprints. The first fragments of every set are
    grouped by shingle. A shingle in the sets of one class of equal sets only
@@ -19,8 +18,8 @@ segments are counted apart and summed for each pair.
    different components has been compared and the shingle is done. So links
    are lost between no two components, and a group of n near copies costs
    about n comparisons.
-4. Each candidate pair's overlaps are counted fragment by fragment, summed
-   and compared with the threshold exactly, in integers.
+4. Each candidate pair's overlaps are counted fragment by fragment in one row
+   that holds both whole sets, summed and compared with the threshold exactly, in integers.
 
 Nothing here is a Python group: shuffles carry ids and fingerprints, texts
 never move, and the one table that reaches all executors is a Bloom filter of
