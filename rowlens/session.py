@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from rowlens.functions import b64
 from rowlens.operators import navigate, order, search
 from rowlens.operators.select import Selection, selected
 from rowlens.sources import export
-from rowlens.sources.decode import named
+from rowlens.sources.decode import all_columns, named
 from rowlens.sources.detect import detect, open_path
 from rowlens.sources.lines import SPLIT_BYTES, read_lines
 from rowlens.spec import PAGE_ROWS, SearchSpec, SortSpec, SourceSpec
@@ -117,6 +119,15 @@ class Dataset:
             raise ValueError(f"unknown format: {fmt}")
 
 
-def open_file(spark: SparkSession, path: str, page_rows: int = PAGE_ROWS, split_bytes: int = SPLIT_BYTES, **settings) -> Dataset:
-    """Open a file; settings as for rowlens.sources.detect.detect()."""
-    return Dataset(spark, detect(path, **settings), page_rows, split_bytes)
+def open_file(spark: SparkSession, path: str, page_rows: int = PAGE_ROWS, split_bytes: int = SPLIT_BYTES, columns: str = "sample", **settings) -> Dataset:
+    """Open a file; settings as for rowlens.sources.detect.detect().
+
+    Columns are those of the sample's first records; columns="all" reads a JSON
+    or YAML file once more for the keys of all records.
+    """
+    if columns not in ("sample", "all"):
+        raise ValueError(f"unknown columns: {columns}")
+    spec = detect(path, **settings)
+    if columns == "all":
+        spec = replace(spec, columns=all_columns(read_lines(spark, spec, split_bytes), spec))
+    return Dataset(spark, spec, page_rows, split_bytes)

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowlens.functions.text import as_text
-from rowlens.operators.navigate import rows_from_cells
-from rowlens.spec import SourceSpec
+from rowlens.operators.navigate import column_names, rows_from_cells
+from rowlens.spec import SourceError, SourceSpec
 
 try:
     import yaml
@@ -120,6 +120,31 @@ def cells(line: Column, spec: SourceSpec) -> Column:
     return _cells(spec)(line)
 
 
+def all_columns(lines: DataFrame, spec: SourceSpec) -> tuple[str, ...]:
+    """First-seen keys over all object records of a JSON or YAML file, else numbered
+    columns of the longest; one row for each name comes to the driver."""
+    if spec.kind not in ("json", "yaml"):
+        raise ValueError(f"columns of all records are for JSON and YAML, not {spec.kind}")
+    value = json_value if spec.kind == "json" else yaml_value
+
+    def keys(line: str):
+        v = value(line)
+        if isinstance(v, dict) and not all(isinstance(k, str) for k in v):
+            raise SourceError("a key is not a text")
+        return {"keys": list(v) if isinstance(v, dict) else None, "width": 1 if v is None else len(v)}
+
+    @F.pandas_udf("keys array<string>, width int")
+    def run(lines: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([keys(x) for x in lines], columns=["keys", "width"])
+
+    found = lines.select("row_no", run("line").alias("v"))
+    each = found.select("row_no", F.posexplode("v.keys").alias("at", "name"))
+    first = each.groupBy("name").agg(F.min(F.struct("row_no", "at")).alias("first")).orderBy("first").collect()
+    if first:
+        return tuple(r["name"] for r in first)
+    return tuple(column_names(found.agg(F.max("v.width")).first()[0] or 1))
+
+
 def named(lines: DataFrame, spec: SourceSpec) -> DataFrame:
     """(row_no, byte_offset, line, cells and a text column for each name)."""
     held = lines.withColumn("cells", cells(F.col("line"), spec))

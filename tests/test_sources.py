@@ -93,6 +93,17 @@ def test_columns_come_from_the_first_ten(spark, tmp_path):
     assert detect(p).columns == ("a",)
 
 
+def test_columns_of_all_records(spark, tmp_path):
+    body = [json.dumps({"a": i} | ({"late": i, "b": 1} if i >= 10 else {})) for i in range(13)]
+    for name, text in (("v.jsonl", "".join(x + "\n" for x in body)), ("v.yaml", "".join(f"- {x}\n" for x in body))):
+        d = open_file(spark, put(tmp_path, name, text), split_bytes=64, columns="all")
+        assert d.spec.columns == ("a", "late", "b") and [r.late for r in d.table.orderBy("row_no").collect()] == [""] * 10 + ["10", "11", "12"]
+    wide = put(tmp_path, "w.jsonl", "[1]\n" * 11 + "[1, 2, 3]\n")
+    assert open_file(spark, wide, columns="all").spec.columns == ("Kolon 1", "Kolon 2", "Kolon 3")
+    with pytest.raises(ValueError):
+        open_file(spark, put(tmp_path, "v.csv", "a;b\nc;d\n"), columns="all")
+
+
 def test_xml_and_yaml_lines(spark, tmp_path):
     x = put(tmp_path, "x.xml", "<rows count=\"3\">\n" + "".join(f"<r><ad>a{i}</ad><yas/></r>\n" for i in range(30)) + "</rows>\n")
     d = open_file(spark, x, split_bytes=64)
