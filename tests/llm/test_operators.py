@@ -267,8 +267,7 @@ def test_connected_components(spark):
 
 # --- op7 ---
 
-def test_toxicity_on_held_out_labels(spark):
-    r = random.Random(2)
+def labelled(r):
     plain, bad = [f"w{i}er" for i in range(200)], ["blarg", "snorfy", "kwepplen"]
     rows, labels = [], []
     for i in range(600):
@@ -278,6 +277,11 @@ def test_toxicity_on_held_out_labels(spark):
             ws[r.randrange(len(ws))] = r.choice(bad)
         rows.append(" ".join(ws))
         labels.append((i, y))
+    return rows, labels
+
+
+def test_toxicity_on_held_out_labels(spark):
+    rows, labels = labelled(random.Random(2))
     docs = frame(spark, rows + EDGE)
     model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
     got = {x.doc_id: x.score for x in toxicity.toxicity_scores(docs, model).collect()}
@@ -291,6 +295,35 @@ def test_toxicity_on_held_out_labels(spark):
     assert toxicity.toxicity_scores(docs.limit(0), model).count() == 0
 
 
+def brute_toxicity(text, ordinary, toxic, weights, offset):
+    """A row scored without tables, parts or batches."""
+    import math
+
+    import zstandard
+
+    size = lambda d, x: len(zstandard.ZstdCompressor(level=19, dict_data=zstandard.ZstdCompressionDict(d), write_checksum=False, write_content_size=False, write_dict_id=False).compress(x))
+    gains = []
+    for w in (text or "").lower().encode().split():
+        w = w.strip(b".,;:!?()[]\"'")
+        if w:
+            gains.append(max(size(ordinary, (b" " + w[i : i + 24]) * 3 + b" ") - size(toxic, (b" " + w[i : i + 24]) * 3 + b" ") for i in range(0, len(w), 24)))
+    x = [math.log1p(sum(g for g in gains if g >= t)) for t in (1, 2, 3, 4, 5)] + [max(0, min(16, max(gains, default=0))), math.log1p(len(gains))]
+    return 1 / (1 + math.exp(-(offset + sum(a * b for a, b in zip(weights, x, strict=True)))))
+
+
+def test_scores_of_a_fixed_model_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "TABLE_ENTRIES", 300)
+    monkeypatch.setattr(toxicity, "SEGMENT_CHARS", 100)
+    rows, _ = labelled(random.Random(3))
+    texts = rows[:30] + made()[:30] + EDGE
+    words_ = [w for t in made() for w in t.encode().split()]
+    ordinary, toxic = toxicity.trained([b" " + w + b" " for w in words_] * 20, 4096), b" blarg  snorfy  kwepplen "
+    model = toxicity.Model(ordinary, toxic, (0.3, 0.2, 0.1, -0.2, 0.5, 0.25, -0.4), -0.7)
+    got = {r.doc_id: r.score for r in toxicity.toxicity_scores(frame(spark, texts).repartition(3), model).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == pytest.approx(brute_toxicity(t, ordinary, toxic, model.weights, model.offset), abs=1e-9), t
+
+
 # --- op8 ---
 
 def test_quotes_link_to_their_originals(spark):
