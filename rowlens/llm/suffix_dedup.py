@@ -1,30 +1,39 @@
-"""Removal of repeated byte strings by minimizer anchors and hash comparison, in place of bucket-pointer refinement.
+"""Removal of repeated byte strings by bucket-pointer refinement.
 
 A byte goes if a string of LENGTH bytes over it also starts in a document with
-a smaller id. Sorting every suffix of a corpus is out of reach, so buckets are
-built and refined for sampled suffixes, and only those that a coarser round
-could not settle go on to the next, finer one:
+a smaller id. Suffixes are sorted into buckets by their first q-gram; buckets
+are refined by sorting on the bucket identifiers of later offsets, which are
+reused from round to round: the identifier of 20 bytes (the q-gram's) and that
+20 bytes on give one for 40, and that one and the one 10 bytes on give one for
+50, where refinement ends. Identifiers are names that depend on the bytes alone
+(96 bits where strings are told apart, 64 inside a bucket of equal q-grams), so
+they are the same in all tasks and are never looked up.
+
+Sorting all suffixes of a corpus is out of reach, so buckets are first built for
+sampled suffixes, and only what stays open there goes on to all:
 
 1. Initial buckets. Each string of LENGTH bytes has an anchor, the least of
-   its q-grams by hash (q = GRAM); equal strings have equal anchors. Strings in
-   a row that share an anchor form a run, about one for 16 bytes of text. Runs
-   with the same anchor gram are a bucket. A bucket with runs from one document
-   only is settled: nothing in it starts elsewhere.
-2. Refinement by later offsets. Inside a bucket, runs are told apart by the
-   bytes from their first string's start to their last one's end. Runs that
-   equal one in a smaller document are settled, all their strings go. If a
-   bucket still has several kinds of runs, the first document of each kind
+   its q-grams by identifier (q = GRAM); equal strings have equal anchors.
+   Strings in a row that share an anchor form a run, about one for 16 bytes of
+   text. Runs with the same anchor gram are a bucket. A bucket with runs from
+   one document only is settled: nothing in it starts elsewhere.
+2. Refinement of runs. A bucket is sorted on the identifiers of the 50 bytes at
+   the offsets of the run's first and last string; together they cover the run.
+   Runs that equal one in a smaller document are settled, all their strings go.
+   If a bucket still has several kinds of runs, the first document of each kind
    stays open.
-3. Last refinement. The strings of open runs are sorted into buckets of whole
-   strings; those with a smaller document go. These pointers, and those of
-   step 2, update the documents' masks, from which the bytes are cut.
+3. Refinement of strings. All suffixes that start in open runs are sorted on
+   their identifiers of 50 bytes; those with a smaller document go. These
+   pointers, and those of step 2, update the documents' masks, from which the
+   bytes are cut.
 
 Within each batch every round is run first: one representative of a bucket
 leaves a batch, and what is settled there is passed through. So a passage that
-a third of all documents share is one entry for each batch. Runs and strings
-travel as packed arrays, runs about a sixteenth as many as bytes; a fragment
-of the hash order is one group, and the number of fragments grows with the
-input. Texts are shuffled once, by row.
+a third of all documents share is one entry of some 40 bytes for each batch of
+HELD_BYTES. Runs and strings travel as packed arrays, runs about a sixteenth as
+many as bytes; a fragment of the order of identifiers is one group, and the
+number of fragments grows with the input. Texts with open or settled runs are
+shuffled once, by row, and kept in buckets of rows, where the strings meet them.
 
 Texts are UTF-8 bytes, null is empty, matches never cross documents. Rows with
 equal ids don't remove from each other; rows without an id keep all and remove
@@ -34,16 +43,16 @@ from none; further columns are ignored; long texts are handled in pieces.
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowlens.llm.common import stored, table
+from rowlens.llm.common import fresh_path, stored, table
 from rowlens.llm.shingles import _mix
 from rowlens.llm.token_text import slabs
 
@@ -53,30 +62,39 @@ PIECE = 1 << 15
 #: Bytes of text whose runs make one fragment.
 FRAGMENT_BYTES = 6 << 20
 #: Bytes of text, and open strings, that a Python worker holds at a time.
-HELD_BYTES, HELD_STRINGS = 3 << 20, 50_000
+HELD_BYTES, HELD_STRINGS = 16 << 20, 400_000
 
-_B = np.uint64(0x9E3779B97F4A7C15)
-_BYTES = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+#: Multipliers of the two independent names of the same bytes.
+_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+_BYTES = [_mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(m)) for m in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
+_PAIR = np.uint64(0x9FB21C651E98DF25)
 _OPEN = 1 << 15  # in a run's number: its bucket has several kinds of runs in the batch
 
 
-def _power(k: int) -> np.uint64:
-    return np.uint64(pow(int(_B), k, 1 << 64))
+def grams(x: np.ndarray, lane: int = 0) -> np.ndarray:
+    """Initial bucket identifiers: names of the GRAM bytes from each position on."""
+    power = lambda k: np.uint64(pow(_BASES[lane], k, 1 << 64))
+    h1 = _BYTES[lane][x]
+    h2 = h1[:-1] + power(1) * h1[1:]
+    h4 = h2[:-2] + power(2) * h2[2:]
+    h8 = h4[:-4] + power(4) * h4[4:]
+    h16 = h8[:-8] + power(8) * h8[8:]
+    return _mix(h16[:-4] + power(16) * h4[16:])
+
+
+def refined(own: np.ndarray, offset: int) -> np.ndarray:
+    """Identifiers by the pair of the own one and the one at a later offset."""
+    return _mix(_mix(own[: len(own) - offset]) * _PAIR + own[offset:])
 
 
-def _grams(x: np.ndarray) -> np.ndarray:
-    """Hashes of the GRAM bytes from each position on."""
-    h1 = _BYTES[x]
-    h2 = h1[:-1] + _power(1) * h1[1:]
-    h4 = h2[:-2] + _power(2) * h2[2:]
-    h8 = h4[:-4] + _power(4) * h4[4:]
-    h16 = h8[:-8] + _power(8) * h8[8:]
-    return _mix(h16[:-4] + _power(16) * h4[16:])
+def pointers(g: np.ndarray) -> np.ndarray:
+    """Identifiers of LENGTH bytes from those of GRAM bytes: 20, then 40, then 50."""
+    return refined(refined(g, GRAM), LENGTH - 2 * GRAM)
 
 
-def runs(x: np.ndarray):
-    """(first string, last string, anchor hash) of the runs of one piece."""
-    g = _grams(x)
+def runs(x: np.ndarray, g: np.ndarray | None = None):
+    """(first string, last string, anchor's identifier, its place) of the runs of one piece."""
+    g = grams(x) if g is None else g
     width = LENGTH - GRAM + 1
     m = (g & ~np.uint64(0xFFFF)) | np.arange(len(g), dtype=np.uint64)
     for step in (1, 2, 4, 8):
@@ -123,14 +141,32 @@ def _settle(q, b, doc, open_):
     return goes[back], stays[back], rep[back], several[back]
 
 
-def _cut_bytes(a: np.ndarray, n: int) -> bytes:
-    return np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n]).tobytes()
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays behind their lengths; their types are known to the reader."""
+    return b"".join([np.array([len(a) for a in arrays], "<u8").tobytes(), *(np.ascontiguousarray(a).tobytes() for a in arrays)])
+
+
+def _unpack(raw: bytes, *kinds: str) -> list[np.ndarray]:
+    sizes, at, out = np.frombuffer(raw, "<u8", len(kinds)), 8 * len(kinds), []
+    for n, kind in zip(sizes.tolist(), kinds, strict=True):
+        out.append(np.frombuffer(raw, kind, n, at))
+        at += n * np.dtype(kind).itemsize
+    return out
 
 
-def _whole(raw: bytes, n: int) -> np.ndarray:
-    out = np.zeros((len(raw) // n, 8), np.uint8)
-    out[:, :n] = np.frombuffer(raw, np.uint8).reshape(-1, n)
-    return out.view("<u8").ravel()
+def _stretches(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before it; the first is one."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+#: A fragment's runs: anchors, contents and numbers, then the rows and pieces that hold them in turn.
+_RUNS = ("<u4", "<u8", "<u2", "<u4", "<i8", "<i8", "<u4")
+#: A fragment's strings: two names and places, then the rows that hold them in turn.
+_STRINGS = ("<u8", "<u4", "<u4", "<u4", "<i8", "<i8")
 
 
 def _scan(fragments: int):
@@ -145,10 +181,11 @@ def _scan(fragments: int):
                 for r in rows:
                     t = batch.column(2)[int(r)].as_py()
                     for k, raw in pieces(t.encode("utf-8", "surrogatepass")) if t else ():
-                        lo, hi, q, rel = runs(np.frombuffer(raw, np.uint8))
-                        ends = hi + LENGTH
+                        g = grams(np.frombuffer(raw, np.uint8))
+                        lo, hi, q, rel = runs(None, g)
+                        p = pointers(g)
                         qs.append(q)
-                        bs.append(np.fromiter((xxhash.xxh3_64_intdigest(raw[i:j], seed=s) for i, j, s in zip(lo.tolist(), ends.tolist(), rel.tolist(), strict=True)), np.uint64, len(lo)))
+                        bs.append(_mix(_mix(p[lo]) * _PAIR + p[hi] + (rel * 64 + hi - lo).astype(np.uint64)))
                         docs.append(np.full(len(q), r))
                         nos.append(np.arange(len(q)))
                         parts.append(np.full(len(q), k))
@@ -162,15 +199,17 @@ def _scan(fragments: int):
                     for name, v in zip(out, (fragment, packed, doc, mark, piece, gone, opened), strict=True):
                         out[name].append(v)
 
-                frag = (q >> np.uint64(40)) % np.uint64(fragments)
+                frag = (q >> np.uint64(32)) % np.uint64(fragments)
                 send = np.flatnonzero(rep)
                 send = send[np.argsort(frag[send], kind="stable")]
                 cuts = np.flatnonzero(np.diff(frag[send])) + 1
                 for s in np.split(send, cuts):
                     if len(s):
                         number = (no[s] | np.where(several[s], _OPEN, 0)).astype("<u2")
-                        packed = b"".join([len(s).to_bytes(8, "little"), _cut_bytes(q[s], 5), _cut_bytes(b[s], 6), number.tobytes(), ids[row[s]].astype("<i8").tobytes(), marks[row[s]].astype("<i8").tobytes(), part[s].astype("<u4").tobytes()])
-                        put(int(frag[s[0]]), packed)
+                        at = _stretches(row[s], part[s])
+                        times = np.diff(at, append=len(s)).astype("<u4")
+                        own = row[s[at]]
+                        put(int(frag[s[0]]), _pack(q[s].astype("<u4"), b[s].astype("<u8"), number, times, ids[own].astype("<i8"), marks[own].astype("<i8"), part[s[at]].astype("<u4")))
                 for r, k, g, o in _by_piece(row, part, no, goes, stays):
                     put(int(ids[r]) % fragments, None, int(ids[r]), int(marks[r]), k, g, o)
                 yield pa.RecordBatch.from_arrays([pa.array(out["fragment"], pa.int32()), pa.array(out["packed"], pa.binary()), pa.array(out["doc"], pa.int64()), pa.array(out["mark"], pa.int64()), pa.array(out["piece"], pa.int32()), pa.array(out["goes"], pa.binary()), pa.array(out["open"], pa.binary())], names=list(out))
@@ -194,11 +233,9 @@ def _refine(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     passed = frame[frame["packed"].isna()][["doc", "mark", "piece", "goes", "open"]]
     cols: list[list] = [[], [], [], [], [], []]
     for raw in frame["packed"].dropna():
-        n, at = int.from_bytes(raw[:8], "little"), 8
-        for i, (wide, kind) in enumerate(((5, None), (6, None), (2, "<u2"), (8, "<i8"), (8, "<i8"), (4, "<u4"))):
-            piece = raw[at : at + wide * n]
-            cols[i].append(_whole(piece, wide) if kind is None else np.frombuffer(piece, kind))
-            at += wide * n
+        q, b, number, times, *rows = _unpack(raw, *_RUNS)
+        for held, c in zip(cols, (q, b, number, *(np.repeat(c, times) for c in rows)), strict=True):
+            held.append(c)
     if not cols[0]:
         return passed
     q, b, number, doc, mark, part = map(np.concatenate, cols)
@@ -229,16 +266,22 @@ def _open_strings(fragments: int):
         for batch in batches:
             for j in range(batch.num_rows):
                 doc, mark, text, flags = (batch.column(i)[j].as_py() for i in range(4))
-                by_piece = {f["piece"]: f for f in flags if any(f["open"])}
+                by_piece: dict[int, list] = {}
+                for f in flags:
+                    by_piece.setdefault(f["piece"], []).append(f)
+                by_piece = {k: fs for k, fs in by_piece.items() if any(o for f in fs for o in f["open"])}
                 for k, raw in pieces(text.encode("utf-8", "surrogatepass")) if by_piece else ():
                     if k not in by_piece:
                         continue
-                    no = np.setdiff1d(_numbers(by_piece[k]["open"]), _numbers(by_piece[k]["goes"]))
+                    fs = by_piece[k]
+                    no = np.setdiff1d(_numbers([o for f in fs for o in f["open"]]), _numbers([o for f in fs for o in f["goes"]]))
                     if len(no):
-                        lo, hi, _, _ = runs(np.frombuffer(raw, np.uint8))
+                        x = np.frombuffer(raw, np.uint8)
+                        g = grams(x)
+                        lo, hi, _, _ = runs(None, g)
                         n = hi[no] - lo[no] + 1
                         at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[no], n)
-                        held.add(doc, mark, [xxhash.xxh3_64_intdigest(raw[p : p + LENGTH]) for p in at.tolist()], at + k * PIECE)
+                        held.add(doc, mark, pointers(g)[at], pointers(grams(x, 1))[at], at + k * PIECE)
                 if held.n >= HELD_STRINGS:
                     yield held.batch()
                     held = _Strings(fragments)
@@ -249,41 +292,43 @@ def _open_strings(fragments: int):
 
 
 class _Strings:
-    """Open strings of a batch: hash, place, and number of their row."""
+    """Open strings of a batch: both names, place, and number of their row."""
 
     def __init__(self, fragments: int):
-        self.fragments, self.n, self.rows, self.hs, self.ats, self.nos = fragments, 0, {}, [], [], []
+        self.fragments, self.n, self.rows, self.hs, self.js, self.ats, self.nos = fragments, 0, {}, [], [], [], []
 
-    def add(self, doc, mark, h, at):
+    def add(self, doc, mark, h, j, at):
         self.n += len(at)
-        self.hs.append(np.array(h, np.uint64))
+        self.hs.append(h)
+        self.js.append(j >> np.uint64(32))
         self.ats.append(at)
         self.nos.append(np.full(len(at), self.rows.setdefault((doc, mark), len(self.rows))))
 
     def batch(self) -> pa.RecordBatch:
-        h, at, no = map(np.concatenate, (self.hs, self.ats, self.nos))
+        h, j, at, no = map(np.concatenate, (self.hs, self.js, self.ats, self.nos))
         docs, marks = (np.array(c, np.int64) for c in zip(*self.rows, strict=True))
-        goes = _later(h, docs[no])
+        goes = _later(h, j, docs[no])
         send = np.flatnonzero(~goes)
         send = send[np.argsort(h[send] % np.uint64(self.fragments), kind="stable")]
         frag = (h[send] % np.uint64(self.fragments)).astype(np.int64)
         out = []
         for s in np.split(send, np.flatnonzero(np.diff(frag)) + 1):
             if len(s):
-                own, local = np.unique(no[s], return_inverse=True)
-                packed = b"".join([len(s).to_bytes(8, "little"), len(own).to_bytes(8, "little"), h[s].astype("<u8").tobytes(), at[s].astype("<u4").tobytes(), local.ravel().astype("<u4").tobytes(), docs[own].astype("<i8").tobytes(), marks[own].astype("<i8").tobytes()])
-                out.append((int(h[s[0]] % np.uint64(self.fragments)), packed, 0, 0, None))
+                first = _stretches(no[s])
+                times, own = np.diff(first, append=len(s)).astype("<u4"), no[s[first]]
+                out.append((int(h[s[0]] % np.uint64(self.fragments)), _pack(h[s].astype("<u8"), j[s].astype("<u4"), at[s].astype("<u4"), times, docs[own].astype("<i8"), marks[own].astype("<i8")), 0, 0, None))
         out.extend((int(docs[r]) % self.fragments, None, int(docs[r]), int(marks[r]), places) for r, places in _by_row(no, at, goes))
         cols = list(zip(*out, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["fragment", "packed", "doc", "mark", "at"])
 
 
-def _later(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+def _later(h: np.ndarray, j: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Whether a string also is in a smaller document of the batch."""
-    order = np.lexsort((doc, h))
-    new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
+    order = np.lexsort((doc, j, h))
+    first = _stretches(h[order], j[order])
+    least = np.repeat(doc[order][first], np.diff(first, append=len(h)))
     out = np.empty(len(h), bool)
-    out[order] = doc[order] != doc[order][new][np.cumsum(new) - 1]
+    out[order] = doc[order] != least
     return out
 
 
@@ -298,20 +343,20 @@ def _by_row(no, at, goes):
 def _later_strings(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     """(doc, mark, at): strings of a fragment that also are in a smaller document."""
     passed = frame[frame["packed"].isna()][["doc", "mark", "at"]]
-    hs, ats, nos, docs, marks, base = [], [], [], [], [], 0
+    hs, js, ats, nos, docs, marks, base = [], [], [], [], [], [], 0
     for raw in frame["packed"].dropna():
-        n, m = (int.from_bytes(raw[i : i + 8], "little") for i in (0, 8))
-        h, at, no, doc, mark = (np.frombuffer(raw, t, c, o) for t, c, o in (("<u8", n, 16), ("<u4", n, 16 + 8 * n), ("<u4", n, 16 + 12 * n), ("<i8", m, 16 + 16 * n), ("<i8", m, 16 + 16 * n + 8 * m)))
+        h, j, at, times, doc, mark = _unpack(raw, *_STRINGS)
         hs.append(h)
+        js.append(j)
         ats.append(at)
-        nos.append(no.astype(np.int64) + base)
+        nos.append(np.repeat(np.arange(base, base + len(doc)), times))
         docs.append(doc)
         marks.append(mark)
-        base += m
+        base += len(doc)
     if not hs:
         return passed
-    h, at, no, doc, mark = map(np.concatenate, (hs, ats, nos, docs, marks))
-    found = [(int(doc[r]), int(mark[r]), places) for r, places in _by_row(no, at, _later(h, doc[no]))]
+    h, j, at, no, doc, mark = map(np.concatenate, (hs, js, ats, nos, docs, marks))
+    found = [(int(doc[r]), int(mark[r]), places) for r, places in _by_row(no, at, _later(h, j, doc[no]))]
     return pd.concat([passed, pd.DataFrame(found, columns=["doc", "mark", "at"])])
 
 
@@ -342,6 +387,18 @@ def _cut_texts(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["doc", "mark", "n_removed", "n_spans", "kept_sha256"])
 
 
+def _bucketed(df: DataFrame, what: str, keys: list[str]) -> DataFrame:
+    """A table written once in buckets by its keys: joins on them don't move it again."""
+    spark = df.sparkSession
+    path, name = fresh_path(spark, what), f"{what}_{uuid.uuid4().hex}".replace("-", "_")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").option("path", path).bucketBy(parts, *keys).saveAsTable(name)
+    out = spark.table(name)
+    out.schema  # resolved: the files stay when the name goes
+    spark.sql(f"drop table {name}")
+    return out
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
     spark = docs.sparkSession
@@ -355,7 +412,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     flags = settled.groupBy("doc", "mark", "piece").agg(F.collect_list("goes").alias("goes"), F.collect_list("open").alias("open"))
     flags = stored(flags.groupBy("doc", "mark").agg(F.collect_list(F.struct("piece", "goes", "open")).alias("flags")), "repeat-flags")
 
-    held = texts.join(flags, ["doc", "mark"]).select("doc", "mark", "text", "flags")
+    held = _bucketed(texts.join(flags, ["doc", "mark"]).select("doc", "mark", "text", "flags"), "repeat-texts", ["doc", "mark"])
     strings = held.mapInArrow(_open_strings(fragments), "fragment int, packed binary, doc long, mark long, at binary")
     later = strings.groupBy("fragment").applyInPandas(_later_strings, "doc long, mark long, at binary")
     single = stored(later.groupBy("doc", "mark").agg(F.collect_list("at").alias("single")), "repeat-strings")
