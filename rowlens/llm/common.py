@@ -18,14 +18,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Where the setting is absent (single-machine tests) a fresh folder under
-    the warehouse is set for the session.
+    Where the setting is absent on a single machine (local masters, as in
+    tests), a fresh folder under the warehouse is set for the session. On a
+    cluster that could be a folder that executors don't share, so it is an error.
     """
     sc = spark.sparkContext
     got = spark.conf.get("spark.checkpoint.dir", None)
     if got is None:
         got = sc.getCheckpointDir()
     if got is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir is not set; intermediate tables need a folder that all executors share")
         got = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints-{uuid.uuid4().hex[:12]}"
         sc.setCheckpointDir(got)
     return got
@@ -35,6 +38,13 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def file_system(path: str):
+    """(file system, path in it) of a path or URI; a plain path is local."""
+    from pyarrow.fs import FileSystem, LocalFileSystem
+
+    return FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (LocalFileSystem(), path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of a small table of ids and numbers with checkpoint()."""
     shared_dir(df.sparkSession)
@@ -45,7 +55,33 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     """Cut the lineage of a larger table: written once as Parquet, read again."""
     path = fresh_path(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of stored() that nothing will read again."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.scratch_path)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def few(df: DataFrame, rows: int, each: int = 50_000) -> DataFrame:
+    """A table of about so many short rows, in no more partitions than it needs.
+
+    Small tables meet in one task without a shuffle, larger ones leave few
+    shuffle files; the number of partitions grows with the rows.
+    """
+    return df.coalesce(max(1, -(-rows // each)))
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have, in any spelling of its case."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
 
 
 def word_count(text) -> F.Column:
