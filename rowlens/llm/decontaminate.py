@@ -13,26 +13,29 @@ shingle of the item that is least under that hash function; windows without
 such a shingle are passed over at no loss. Candidates are verified by exact
 containment of the item's shingle set in that of the whole document.
 
-Items go in blocks of BLOCK_SHINGLES shingles, so what reaches the workers is
-bounded; documents never move. An item with fewer than n words is one shingle
+A Spark job deals items into blocks of about BLOCK_SHINGLES shingles, which stay
+in files of the shared folder. A task reads one block at a time, builds its
+index and looks at DOC_BYTES of documents with it, so what a task holds is
+bounded; documents never move, and items never reach the driver. An item with fewer than n words is one shingle
 of all its words and is sought as such. Null and empty texts match nothing.
 Repeated rows and equal or null ids are separate; further columns are ignored.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowlens.llm.common import table
+from rowlens.llm.common import file_system, fresh_path, table, word_count
 from rowlens.llm.shingles import _mix, fingerprints, words
 
 HASHES = 48
 BLOCK_SHINGLES = 1_000_000
+#: Bytes of documents that a task looks at with one block after the other.
+DOC_BYTES = 32 << 20
 _SEEDS = _mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
@@ -101,15 +104,52 @@ def _item(text: str | None, n: int):
     return np.unique(fingerprints(ws, n)), min(len(ws), n)
 
 
-def _blocks(items: DataFrame):
-    block, size = [], 0
-    for i, text in items.toLocalIterator():
-        block.append((i, text))
-        size += len(text.split()) if text else 0
-        if size >= BLOCK_SHINGLES:
-            yield block
-            block, size = [], 0
-    yield block
+class Blocks:
+    """Items in numbered blocks of files; a worker keeps the index that it built last."""
+
+    _kept: dict = {}
+
+    def __init__(self, items: DataFrame, n: int, percent: int):
+        """items: (item, text)."""
+        spark = items.sparkSession
+        size = items.agg(F.sum(word_count(F.col("text")))).first()[0] or 0
+        self.n, self.percent, self.count, self.path = n, percent, max(1, -(-size // BLOCK_SHINGLES)), fresh_path(spark, "benchmark-items")
+        dealt = items.withColumn("block", F.pmod(F.monotonically_increasing_id(), F.lit(self.count)))
+        dealt.repartition("block").write.partitionBy("block").parquet(self.path)
+
+    def index(self, block: int) -> Index:
+        key = self.path, block
+        if key not in self._kept:
+            fs, at = file_system(f"{self.path}/block={block}")
+            from pyarrow.fs import FileSelector
+
+            held = []
+            for info in fs.get_file_info(FileSelector(at, allow_not_found=True)):
+                if info.base_name.endswith(".parquet"):
+                    with fs.open_input_file(info.path) as f:
+                        t = pq.ParquetFile(f).read()
+                    held.extend(zip(t.column("item").to_pylist(), t.column("text").to_pylist(), strict=True))
+            self._kept.clear()
+            self._kept[key] = Index(held, self.n, self.percent)
+        return self._kept[key]
+
+    def each(self, batches, text_at: int):
+        """(batch, index) of every batch with every block."""
+        held, size = [], 0
+
+        def looked():
+            for block in range(self.count):
+                index = self.index(block)
+                for batch in held:
+                    yield batch, index
+
+        for batch in batches:
+            held.append(batch)
+            size += batch.column(text_at).nbytes
+            if self.count == 1 or size >= DOC_BYTES:
+                yield from looked()
+                held, size = [], 0
+        yield from looked()
 
 
 def contained_items(docs: DataFrame, items: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -118,42 +158,39 @@ def contained_items(docs: DataFrame, items: DataFrame, n: int = 5, percent: int
     schema = f"id {kind}, item {item_kind.simpleString()}, shared long, size long"
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     arrow = {"bigint": pa.int64(), "int": pa.int32()}.get(item_kind.simpleString(), pa.string())
-
-    def search(block):
-        index = Index(block, n, percent)
-
-        def run(batches):
-            for batch in batches:
-                at, item, shared, size = [], [], [], []
-                for j, t in enumerate(batch.column(1)):
-                    for i, k, q in index.matches(t.as_py()):
-                        at.append(j)
-                        item.append(i)
-                        shared.append(k)
-                        size.append(q)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(item, arrow), pa.array(shared, pa.int64()), pa.array(size, pa.int64())], names=["id", "item", "shared", "size"])
-
-        return rows.mapInArrow(run, schema)
-
-    found = reduce(DataFrame.unionByName, [search(b) for b in _blocks(items.select(item_col, item_text))])
+    blocks = Blocks(items.select(F.col(item_col).alias("item"), F.col(item_text).alias("text")), n, percent)
+
+    def run(batches):
+        for batch, index in blocks.each(batches, 1):
+            at, item, shared, size = [], [], [], []
+            for j, t in enumerate(batch.column(1)):
+                for i, k, q in index.matches(t.as_py()):
+                    at.append(j)
+                    item.append(i)
+                    shared.append(k)
+                    size.append(q)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(item, arrow), pa.array(shared, pa.int64()), pa.array(size, pa.int64())], names=["id", "item", "shared", "size"])
+
+    found = rows.mapInArrow(run, schema)
     return found.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "shared", F.col("size").alias("item_shingles"))
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, n: int = 5, percent: int = 80, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows that contain no item, unchanged."""
     at = docs.columns.index(text_col)
-
-    def clean(rows: DataFrame, block) -> DataFrame:
-        index = Index(block, n, percent)
-
-        def run(batches):
-            for batch in batches:
-                keep = [next(index.matches(t.as_py()), None) is None for t in batch.column(at)]
-                yield batch.filter(pa.array(keep, pa.bool_()))
-
-        return rows.mapInArrow(run, docs.schema)
-
-    return reduce(clean, _blocks(items.select(item_col, item_text)), docs)
+    blocks = Blocks(items.select(F.col(item_col).alias("item"), F.col(item_text).alias("text")), n, percent)
+
+    def run(batches):
+        clean: dict[int, list] = {}  # batches under way: the batch, what is clean in it, blocks seen
+        for batch, index in blocks.each(batches, at):
+            held = clean.setdefault(id(batch), [batch, [True] * batch.num_rows, 0])
+            held[1] = [ok and next(index.matches(t.as_py()), None) is None for ok, t in zip(held[1], batch.column(at), strict=True)]
+            held[2] += 1
+            if held[2] == blocks.count:
+                del clean[id(batch)]
+                yield batch.filter(pa.array(held[1], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op5_decontaminate(spark, sf_dir) -> DataFrame:
