@@ -2,21 +2,21 @@
 
 A file set is a folder of shards in ascending id order. Shard k holds
 
-* ``tokens-k.bin``   token ids, little-endian, 16 bits if every id of the
-  vocabulary fits, else 32;
+* ``tokens-k.bin``   token ids, little-endian, 16 bits if the end id and every
+  id of the vocabulary fit, else 32 (or as asked for);
 * ``offsets-k.bin``  unsigned 64-bit: for each document the number of ids in
   the whole set before it, then the end of its last document;
 * ``ids-k.bin``      signed 64-bit document ids (null: the smallest value).
 
-Texts are range-partitioned by id, so a shard is written by one task, which
+Texts are range-partitioned by id and a digest of the text, so a shard is written by one task, which
 encodes and appends run by run. Its token count is all that the driver sees;
 prefix sums over the shards give each one's base, and a second small job
 writes the offsets. Every file is written under a name of its attempt and then
 renamed, so a repeated task replaces a lost one's files. Where the folder is
 local or mounted, readers map the files into memory.
 
-Null and empty texts hold the end id alone; equal ids stay apart, ordered by
-their text; an empty table gives a set without shards. Further columns are
+Null and empty texts hold the end id alone; equal and null ids stay apart,
+ordered by that digest and then by text, and may fill many shards; an empty table gives a set without shards. Further columns are
 ignored.
 """
 
@@ -33,8 +33,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowlens.llm.common import fresh_path, table
-from rowlens.llm.token_text import encode_ids, segments, slabs, tokenizer_path
+from rowlens.llm.common import file_system, fresh_path, table
+from rowlens.llm.token_text import encode_ids, load, segments, slabs, tokenizer_path
 
 SLAB_BYTES = 4 << 20
 SEGMENT_CHARS = 1 << 20
@@ -43,13 +43,6 @@ SHARD_BYTES = 64 << 20
 NULL_ID = -(1 << 63)
 
 
-def _store(folder: str):
-    """(file system, path) of a folder URI; a plain path is local."""
-    from pyarrow.fs import FileSystem, LocalFileSystem
-
-    return FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (LocalFileSystem(), folder)
-
-
 def _name(what: str, shard: int) -> str:
     return f"{what}-{shard:06d}.bin"
 
@@ -77,10 +70,16 @@ def _read(fs, path: str) -> memoryview:
         return memoryview(f.read())
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", wide: bool = False) -> list[tuple[int, int, int]]:
+def needs_wide(tokenizer: str, end_id: int) -> bool:
+    """Whether the vocabulary or the end id needs more than 16 bits."""
+    return max(end_id, *load(tokenizer).get_vocab(with_added_tokens=True).values()) > 0xFFFF
+
+
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", wide: bool | None = None) -> list[tuple[int, int, int]]:
     """Write the set into a new folder; (shard, documents, base) in order."""
-    dtype = "<u4" if wide else "<u2"
+    dtype = "<u4" if (needs_wide(tokenizer, end_id) if wide is None else wide) else "<u2"
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = rows.withColumn("digest", F.xxhash64("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     spark = docs.sparkSession
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
@@ -88,7 +87,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
     def write(batches):
         task = TaskContext.get()
         shard, attempt = task.partitionId(), f"{task.taskAttemptId()}"
-        fs, at = _store(folder)
+        fs, at = file_system(folder)
         fs.create_dir(at, recursive=True)
         end, ids, lengths = np.array([end_id], dtype).tobytes(), [], []
 
@@ -122,7 +121,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
         _put(fs, f"{at}/{_name('ids', shard)}", attempt, [np.concatenate(ids).astype("<i8").tobytes()])
         yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (shard, len(n), int(n.sum()))], names=["shard", "docs", "tokens"])
 
-    ranged = rows.repartitionByRange(shards, "id").sortWithinPartitions("id", "text")
+    ranged = rows.repartitionByRange(shards, "id", "digest").sortWithinPartitions("id", "digest", "text").select("id", "text")
     counts = sorted(tuple(r) for r in ranged.mapInArrow(write, "shard long, docs long, tokens long").collect())
     bases, base = [], 0
     for shard, n, tokens in counts:
@@ -130,7 +129,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
         base += tokens
 
     def offsets(frames):
-        fs, at = _store(folder)
+        fs, at = file_system(folder)
         for frame in frames:
             for shard, base in zip(frame["shard"], frame["base"], strict=True):
                 n = np.frombuffer(_read(fs, f"{at}/{_name('lengths', shard)}"), "<u8")
@@ -163,7 +162,7 @@ def read_token_files(spark, folder: str, bases, wide: bool = False, batch_docs:
         return spark.createDataFrame([], schema)
 
     def read(frames):
-        fs, at = _store(folder)
+        fs, at = file_system(folder)
         for frame in frames:
             for shard, base in zip(frame["shard"], frame["base"], strict=True):
                 tokens = np.frombuffer(_read(fs, f"{at}/{_name('tokens', shard)}"), dtype)
@@ -180,7 +179,8 @@ def read_token_files(spark, folder: str, bases, wide: bool = False, batch_docs:
 def token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None, **cols) -> DataFrame:
     """Write the file set (a fresh shared folder by default) and read it back."""
     folder = folder or fresh_path(docs.sparkSession, "token-files")
-    return read_token_files(docs.sparkSession, folder, write_token_files(docs, folder, tokenizer, end_id, **cols))
+    wide = needs_wide(tokenizer, end_id)
+    return read_token_files(docs.sparkSession, folder, write_token_files(docs, folder, tokenizer, end_id, wide=wide, **cols), wide)
 
 
 def op4_token_files(spark, sf_dir) -> DataFrame:
