@@ -3,7 +3,8 @@
 Arrow batches reach the Python workers and only three numbers for each row go
 back. Within a batch, rows are taken in runs of about equal bytes; a text
 beyond SEGMENT_CHARS is cut at safe boundaries and its parts are summed, so
-memory holds one run and one part at a time.
+memory holds one run and one part at a time; a part is longer than SEGMENT_CHARS
+only by a run of letters or other characters in which no pre-token ends.
 
 Null and empty texts count 0 bytes and 0 tokens. Rows with equal or null ids
 each give a row. Further columns are ignored. Special strings inside a text

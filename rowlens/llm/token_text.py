@@ -27,6 +27,9 @@ import re
 import numpy as np
 
 _LONE = re.compile(r"(?<=\S)([ \n])(?=\S)")
+_ODD = re.compile(r"[^\S \n]")
+#: Where any script may be cut: at a single space, or between a letter and a mark that ends a clause.
+_CUT = re.compile(r"(?<=\S) (?=\S)|(?<=[^\W\d_\u0130])(?=[.,;:!?\u061b\u061f\u060c\u0964\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f])")
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-įı-ſ]*")
 _BLANKS = re.compile(r"[ \t\n\r]+")
 _OTHER = re.compile(r"[^\x00-\x7f]|[\t\r\x0b\x0c\x1c-\x1f]")
@@ -97,6 +100,8 @@ class _Table(dict):
         at = np.flatnonzero(self.marked()[ids])
         if len(at) != len(pieces):
             return False
+        if not by_start and ids.max() > np.iinfo(self.dtype).max:
+            raise OverflowError(f"token id {ids.max()} is too large for {self.dtype}")
         if by_start:
             self.update(zip(pieces, np.diff(at, append=len(ids)).tolist(), strict=True))
         else:
@@ -161,12 +166,10 @@ def _table(path: str, dtype=None) -> _Table:
 
 
 def _lone_gaps(text: str) -> bool:
-    """Whether every gap is one space or line feed, so that split() is safe."""
-    if "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
+    """Whether all white space is single spaces and line feeds between other characters."""
+    if not text or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
         return False
-    if not text or text[0] in " \n" or text[-1] in " \n":
-        return False
-    return len(text.split()) == text.count(" ") + text.count("\n") + 1
+    return text[0] not in " \n" and text[-1] not in " \n" and not _ODD.search(text)
 
 
 def byte_pieces(text: str) -> list[str]:
@@ -217,19 +220,20 @@ def slabs(sizes: list[int], most: int):
 
 
 def segments(text: str, most: int):
-    """A long text in parts of about `most` characters, cut at a lone space
-    between ASCII letters (safe for every tokenizer here); shorter texts whole.
+    """A long text in parts of about `most` characters; shorter texts whole.
 
-    The space goes with the part after it. A text without such a space within
-    reach is not cut there.
+    Cuts are where a pre-token ends for every tokenizer here: before a single
+    space between other characters, and between a letter of any script and a
+    full stop, comma or the like after it (but U+0130, which ends in a combining
+    mark in lower case). A part goes on where there is none:
+    a longer run of letters is one pre-token and can't be cut exactly.
     """
     if len(text) <= most:
         yield text
         return
     start, n = 0, len(text)
-    at = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
     while n - start > most:
-        m = at.search(text, start + most)
+        m = _CUT.search(text, start + most)
         if not m:
             break
         yield text[start : m.start()]
