@@ -126,6 +126,28 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_k(v.limit(0), v.limit(0)).count() == 0
 
 
+def test_large_components_end_the_query(spark):
+    rows = [(0, [1.0, -3e6]), (1, [2.0, 4e6]), (50, [-4e5, 3e6])]  # products beyond 2**53
+    good = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.vec_id): r.score for r in topk.top_k(good, good.where("vec_id % 50 = 0")).collect()}
+    v = {i: [int(np.floor(x * 256)) for x in e] for i, e in rows}
+    assert got == {(a, b): sum(x * y for x, y in zip(v[a], v[b], strict=True)) for a in (0, 50) for b in v if a != b}
+    for bad in ([1e30, 1.0], [3e15, 3e15]):
+        vs = spark.createDataFrame([(0, bad), (1, bad), (2, [1.0, 1.0])], "vec_id long, embedding array<double>")
+        with pytest.raises(Exception, match="too large|64 bits"):
+            topk.top_k(vs, vs.where("vec_id = 0")).collect()
+
+
+def test_blocks_and_partitions_of_vectors_give_the_same(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    v = spark.createDataFrame([(int(i) if i % 3 else 9, list(map(float, x))) for i, x in enumerate(r.normal(size=(300, 6)))], "vec_id long, embedding array<double>")
+    whole = sorted(map(tuple, topk.top_k(v, v.where("vec_id % 4 = 0")).collect()))
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(topk, "PART_BYTES", 1000)
+    monkeypatch.setattr(topk, "SEED", 10)
+    assert sorted(map(tuple, topk.top_k(v, v.where("vec_id % 4 = 0")).collect())) == whole
+
+
 def test_coordinate_pruning_loses_nothing(spark, monkeypatch):
     r = np.random.default_rng(2)
     centre = r.normal(size=(5, 8))
@@ -159,6 +181,34 @@ def test_counts_equal_the_library(spark, monkeypatch):
     assert token_counts.token_counts(frame(spark, texts).limit(0), token_text.tokenizer_path("byte_bpe_50k.json")).count() == 0
 
 
+ALPHABET = ["a", "b", "the", "é", "ß", "数", "字", "。", "，", "م", "ر", "،", "д", "и", " ", " ", " ", "\n", "\n", "\xa0", "\u2028", "\t", "\r", "\x1c", "\x85", ".", ",", "'s", "'", "<|endoftext|>", "1", "²", "ँ", "ि", "क", "\u0301", "İ", "ı", "!", "?", "  ", "-", "_"]
+
+
+def strange(n, seed=5):
+    r = random.Random(seed)
+    return ["a\xa0b\n\xa0", *("".join(r.choice(ALPHABET) for _ in range(r.randint(1, 25))) for _ in range(n - 1))]
+
+
+def test_strange_texts_and_parts_of_them_equal_the_library():
+    texts = strange(20_000)
+    p = token_text.tokenizer_path("byte_bpe_50k.json")
+    exp = [len(e.ids) for e in library("byte_bpe_50k.json").encode_batch(texts, add_special_tokens=False)]
+    assert [n for i in range(0, len(texts), 500) for n in token_text.count_tokens(texts[i : i + 500], p)] == exp
+    assert [sum(token_text.count_tokens(list(token_text.segments(x, 6)), p)) for x in texts] == exp
+    p = token_text.tokenizer_path("word_bpe_49k.json")
+    exp = [np.array(e.ids, "<u2").tobytes() for e in library("word_bpe_49k.json").encode_batch(texts, add_special_tokens=False)]
+    assert [x for i in range(0, len(texts), 500) for x in token_text.encode_ids(texts[i : i + 500], p, "<u2")] == exp
+    assert [b"".join(token_text.encode_ids(list(token_text.segments(x, 6)), p, "<u2")) for x in texts] == exp
+
+
+@pytest.mark.parametrize("unit", ["数字テスト。", "привет, мир; ", "مرحبا بالعالم، "])
+def test_long_texts_of_any_script_are_cut(unit):
+    text = unit * 2000
+    parts = list(token_text.segments(text, 1000))
+    assert "".join(parts) == text and max(map(len, parts)) <= 1000 + len(unit) * 2
+    assert list(token_text.segments("x" * 5000, 1000)) == ["x" * 5000]
+
+
 def test_small_tables_of_pieces_give_the_same(monkeypatch):
     monkeypatch.setattr(token_text, "TABLE_ENTRIES", 20)
     monkeypatch.setattr(token_text, "_tables", {})
@@ -168,6 +218,22 @@ def test_small_tables_of_pieces_give_the_same(monkeypatch):
     assert got == [len(e.ids) for e in library("byte_bpe_50k.json").encode_batch(texts, add_special_tokens=False)]
 
 
+def test_width_of_ids(spark, tmp_path):
+    p = token_text.tokenizer_path("word_bpe_49k.json")
+    assert not token_files.needs_wide(p, 2) and token_files.needs_wide(p, 70_000)
+    with pytest.raises(OverflowError):
+        token_text.encode_ids(["some plain words here"], p, "<u1")
+    got = token_files.token_files(frame(spark, ["one two", None]), p, end_id=70_000).orderBy("doc_id").collect()
+    ids = library("word_bpe_49k.json").encode("one two", add_special_tokens=False).ids
+    assert [r.ids_crc32 for r in got] == [zlib.crc32(np.array([*ids, 70_000], "<u4").tobytes()), zlib.crc32(np.array([70_000], "<u4").tobytes())]
+
+
+def test_one_id_fills_many_shards(spark, tmp_path):
+    docs = frame(spark, [f"text {i}" for i in range(400)], [7] * 300 + [None] * 100)
+    bases = token_files.write_token_files(docs, f"file://{tmp_path}/hot", token_text.tokenizer_path("word_bpe_49k.json"), 2)
+    assert len(bases) == 4 and max(n for _, n, _ in bases) < 250 and sum(n for _, n, _ in bases) == 400
+
+
 @pytest.mark.parametrize("wide", [False, True])
 def test_files_round_trip(spark, tmp_path, wide, monkeypatch):
     monkeypatch.setattr(token_files, "SEGMENT_CHARS", 500)
@@ -214,6 +280,33 @@ def test_contained_items_equal_brute_force(spark):
     assert decontaminate.contained_items(frame(spark, docs), items_frame.limit(0)).count() == 0
 
 
+def test_scattered_items_are_found_in_any_number_of_blocks(spark, monkeypatch):
+    """Recall of the window search: shingles of an item spread over a long document."""
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    items = [[word() for _ in range(r.randint(5, 60))] for _ in range(300)]
+    docs = []
+    for ws in items:
+        parts, at = [], 0
+        while at + 5 <= len(ws):  # pieces that hold all shingles, far apart
+            n = r.randint(5, 9)
+            parts.append(" ".join(ws[at : at + n]))
+            at += n - 4
+        r.shuffle(parts)
+        docs.append(" ".join(x for p in parts for x in (p, " ".join(word() for _ in range(r.randint(0, 80))))))
+    items_frame = spark.createDataFrame([(i, " ".join(ws)) for i, ws in enumerate(items)], "item_id long, text string")
+    n = lambda ws: len(grams(" ".join(ws), 5))
+    exp = {(i, i, len(grams(" ".join(ws), 5) & grams(d, 5)), n(ws)) for i, (ws, d) in enumerate(zip(items, docs, strict=True))}
+    exp = {x for x in exp if 100 * x[2] >= 80 * x[3]}
+    got = set(map(tuple, decontaminate.contained_items(frame(spark, docs), items_frame).collect()))
+    assert len(exp) > 250 and len(got & exp) >= 0.99 * len(exp) and got <= exp
+    monkeypatch.setattr(decontaminate, "BLOCK_SHINGLES", 700)
+    monkeypatch.setattr(decontaminate, "DOC_BYTES", 20_000)
+    assert set(map(tuple, decontaminate.contained_items(frame(spark, docs), items_frame).collect())) == got
+    clean = {x.doc_id for x in decontaminate.keep_clean(frame(spark, docs + ["clean one"]), items_frame).collect()}
+    assert clean == set(range(len(docs) + 1)) - {x[0] for x in got}
+
+
 # --- op6 ---
 
 def brute_components(texts, n, percent):
