@@ -7,13 +7,20 @@ collapsed, A-Z in lower case) and hashed; it is linked to the latest earlier
 message of the conversation that has the line as its own. The original with
 most linked lines of level 1 (of any level if none is linked there; ties to
 the later turn) is what a message replies to; without a link, that is the
-message before it. Messages come back without quotes, numbered so that
-everyone follows the one that it replies to.
+message before it. Messages come back without quotes.
+
+Conversations are built in the order of replies: the first reply to a message
+goes on with its branch, every further one opens a branch of its own, named by
+the turn of its first message. Ordered by branch and turn, each message follows
+the one that it replies to, and threads that were interleaved are apart.
 
 Links are looked up by running maxima over the lines that share a hash, in
-two levels (slices of turns, then within a slice), so neither a line that
-every message quotes nor one long conversation becomes a join of all pairs or
-one task. Only DataFrame operations are used.
+two levels (slices of about equal numbers of rows in the order of turns, then
+within a slice), so neither a line that every message quotes nor one long
+conversation becomes a join of all pairs or one task, however far apart its
+turns are. Branches are found by running maxima over messages that answer the
+one just before, and by doubling steps over the runs that these make. Only
+DataFrame operations are used.
 
 Null texts are empty, blank quoted lines link nothing; a null conversation is
 one conversation, null turns come first; repeated rows are separate messages
@@ -25,10 +32,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowlens.llm.common import table
+from rowlens.llm.common import discard, stored, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-SLICE_TURNS = 4096
 MARK = r"^((?:[ \t]*>)+)"
 
 
@@ -46,22 +52,30 @@ def _digest(body: Column) -> Column:
     return F.when(plain != "", F.md5(plain))
 
 
-def earlier(rows: DataFrame, keys: list[str], turn: str, value: str) -> DataFrame:
-    """rows with ``before``: the largest non-null value at smaller turns of the same keys.
+def in_slices(rows: DataFrame, keys: list[str], turn: str) -> DataFrame:
+    """rows with ``slice``: ranges of (keys, turn) of about equal numbers of rows, equal turns in one."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stored(rows.repartitionByRange(parts, *keys, turn).withColumn("slice", F.spark_partition_id()), "quote-slices")
+
+
+def running(slices: DataFrame, keys: list[str], turn: str, wanted: dict) -> DataFrame:
+    """slices with running aggregates over the smaller turns of the same keys.
 
-    Equal turns don't see each other. rows need non-null turns; null keys are a group.
+    wanted: new column -> (aggregate, column, whether the own turn counts). Equal
+    turns don't see each other otherwise; null keys are a group, turns are not null.
     """
-    slices = rows.withColumn("slice", F.floor(F.col(turn) / SLICE_TURNS))
-    tops = slices.groupBy(*keys, "slice").agg(F.max(value).alias("top"))
+    tops = slices.groupBy(*keys, "slice").agg(*[f(c).alias(f"_{n}") for n, (f, c, _) in wanted.items()])
     over = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    tops = tops.withColumn("carried", F.max("top").over(over)).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("slice").alias("_slice"), "carried")
-    within = Window.partitionBy(*keys, "slice").orderBy(turn).rangeBetween(Window.unboundedPreceding, -1)
-    here = slices.withColumn("near", F.max(value).over(within))
+    carried = [f(f"_{n}").over(over).alias(f"_{n}") for n, (f, _, _) in wanted.items()]
+    tops = tops.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("slice").alias("_slice"), *carried)
+    within = Window.partitionBy(*keys, "slice").orderBy(turn)
+    near = [f(c).over(within.rangeBetween(Window.unboundedPreceding, 0 if own else -1)).alias(n) for n, (f, c, own) in wanted.items()]
     cond = F.col("slice") == F.col("_slice")
     for k in keys:
         cond = cond & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    out = here.join(tops, cond)
-    return out.withColumn("before", F.coalesce("near", "carried")).drop("slice", "near", "carried", "_slice", *[f"_{k}" for k in keys])
+    out = slices.select("*", *near).join(tops, cond)
+    join = lambda n, f: F.coalesce(F.col(n) + F.col(f"_{n}"), n, f"_{n}") if f is F.sum else F.greatest(n, f"_{n}")
+    return out.withColumns({n: join(n, f) for n, (f, _, _) in wanted.items()}).drop("slice", "_slice", *[f"_{x}" for x in (*keys, *wanted)])
 
 
 def quote_links(messages: DataFrame) -> DataFrame:
@@ -72,12 +86,13 @@ def quote_links(messages: DataFrame) -> DataFrame:
     m = m.select("conv_id", "turn", F.col("l.level").alias("level"), _digest(F.col("l.body")).alias("hash")).where("hash is not null")
     m = m.groupBy("conv_id", "hash", "turn", "level").agg(F.count("*").alias("lines"))
     m = m.withColumn("own", F.when(F.col("level") == 0, F.col("turn")))
-    linked = earlier(m, ["conv_id", "hash"], "turn", "own").where("level > 0 and before is not null")
+    m = in_slices(m, ["conv_id", "hash"], "turn")
+    linked = running(m, ["conv_id", "hash"], "turn", {"before": (F.max, "own", False)}).where("level > 0 and before is not null")
     return linked.groupBy("conv_id", "turn", F.col("before").alias("original"), "level").agg(F.sum("lines").alias("lines"))
 
 
 def link_quotes(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, position, role, content, reply_to, linked, quoted_lines, max_level) of every message."""
+    """(conv_id, turn, position, role, content, reply_to, linked, quoted_lines, max_level, branch) of every message."""
     lines = _lines(F.col("text"))
     m = messages.select("conv_id", "turn", "role", "text").withColumn("at", F.coalesce("turn", F.lit(-(1 << 62)))).withColumn("lines", lines)
     own = F.filter("lines", lambda x: x["level"] == 0)
@@ -91,18 +106,40 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     first = F.struct((F.col("level") == 1).alias("direct"), F.col("lines"), F.col("original"))
     by = votes.groupBy("conv_id", "turn", "original", (F.col("level") == 1).alias("direct")).agg(F.sum("lines").alias("lines"), F.min("level").alias("level"))
     best = by.groupBy(F.col("conv_id").alias("_conv"), F.col("turn").alias("_turn")).agg(F.max(first)["original"].alias("original"))
-    # the message before, and how many there are before, from one row for each turn
-    turns = m.groupBy("conv_id", "at").agg(F.count("*").alias("n")).withColumn("value", F.col("at"))
-    turns = earlier(turns, ["conv_id"], "at", "value").withColumn("slice", F.floor(F.col("at") / SLICE_TURNS))
-    sums = turns.groupBy(F.col("conv_id").alias("c"), F.col("slice").alias("s")).agg(F.sum("n").alias("total"))
-    sums = sums.withColumn("base", F.coalesce(F.sum("total").over(Window.partitionBy("c").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("total")
-    inner = F.coalesce(F.sum("n").over(Window.partitionBy("conv_id", "slice").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    turns = turns.withColumn("inner", inner).join(sums, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("slice") == F.col("s")))
-    turns = turns.select(F.col("conv_id").alias("_c"), F.col("at").alias("_a"), "before", (F.col("inner") + F.col("base")).alias("position"))
+    # the turn before and the number of messages before, from one row for each turn
+    turns = in_slices(m.groupBy("conv_id", "at").agg(F.count("*").alias("n")), ["conv_id"], "at")
+    turns = running(turns, ["conv_id"], "at", {"before": (F.max, "at", False), "position": (F.sum, "n", False)})
+    turns = turns.join(best, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("at") == F.col("_turn")), "left")
+    turns = stored(turns.select("conv_id", "at", F.coalesce("position", F.lit(0)).alias("position"), "original", "before", F.coalesce("original", "before").alias("parent")), "quote-turns")
+    turns = turns.join(_branches(turns), F.col("conv_id").eqNullSafe(F.col("_b")) & (F.col("at") == F.col("_t")))
+    turns = turns.select(F.col("conv_id").alias("_c"), F.col("at").alias("_a"), "position", "original", "parent", "branch")
     out = m.join(turns, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("at") == F.col("_a")))
-    out = out.join(best, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("at") == F.col("_turn")), "left")
-    to = F.coalesce("original", "before")
-    return out.select("conv_id", "turn", "position", "role", "content", F.when(to > -(1 << 62), to).alias("reply_to"), F.col("original").isNotNull().alias("linked"), "quoted_lines", "max_level")
+    shown = lambda c: F.when(F.col(c) > -(1 << 62), F.col(c))
+    return out.select("conv_id", "turn", "position", "role", "content", shown("parent").alias("reply_to"), F.col("original").isNotNull().alias("linked"), "quoted_lines", "max_level", shown("branch").alias("branch"))
+
+
+def _branches(turns: DataFrame) -> DataFrame:
+    """(_b, _t, branch): the branch of each conversation and turn, named by its first turn."""
+    # runs of turns that answer the one just before are parts of one branch
+    start = F.when(F.col("parent").isNull() | (F.col("parent") != F.col("before")), F.col("at"))
+    runs = in_slices(turns.select("conv_id", "at", "parent", start.alias("start")), ["conv_id"], "at")
+    runs = stored(running(runs, ["conv_id"], "at", {"run": (F.max, "start", True)}).select("conv_id", "at", "parent", "run"), "quote-runs")
+    # a run whose first message is the first answer to its parent goes on with the parent's run
+    first = runs.where("parent is not null").groupBy("conv_id", "parent").agg(F.min("at").alias("at"))
+    heads = runs.where("at = run").join(first.select(F.col("conv_id").alias("c"), F.col("parent").alias("p"), F.col("at").alias("a")), F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("parent") == F.col("p")) & (F.col("at") == F.col("a")), "left")
+    above = runs.select(F.col("conv_id").alias("c2"), F.col("at").alias("a2"), F.col("run").alias("up"))
+    ups = heads.join(above, F.col("conv_id").eqNullSafe(F.col("c2")) & (F.col("p") == F.col("a2")), "left")
+    ups = stored(ups.select(F.col("conv_id").alias("c"), F.col("run").alias("r"), F.coalesce("up", "run").alias("up")), "quote-heads")
+    while True:  # each step doubles the distance that a run looks up
+        over = ups.where("up != r").select(F.col("c").alias("c2"), F.col("r").alias("r2"), F.col("up").alias("top"))
+        new = ups.join(over, F.col("c").eqNullSafe(F.col("c2")) & (F.col("up") == F.col("r2")), "left")
+        new = stored(new.select("c", "r", F.coalesce("top", "up").alias("up"), F.col("top").isNotNull().alias("moved")), "quote-heads")
+        discard(ups)
+        ups = new
+        if ups.where("moved").isEmpty():
+            break
+    out = runs.join(ups, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("run") == F.col("r")))
+    return out.select(F.col("conv_id").alias("_b"), F.col("at").alias("_t"), F.col("up").alias("branch"))
 
 
 def op8_link_quotes(spark, sf_dir) -> DataFrame:
@@ -110,7 +147,7 @@ def op8_link_quotes(spark, sf_dir) -> DataFrame:
 
 
 ORACLE = r"""
-with l as (
+with recursive l as (
   select conv_id, turn, u.i, length(regexp_replace(regexp_extract(u.x, '^((?:[ \t]*>)+)', 1), '[^>]', '', 'g')) as level,
          substr(u.x, length(regexp_extract(u.x, '^((?:[ \t]*>)+)', 1)) + 1) as body
   from (select conv_id, turn, string_split(regexp_replace(coalesce(text, ''), '\r\n?', e'\n', 'g'), e'\n') as xs from conversations),
@@ -127,8 +164,14 @@ with l as (
 ), m as (
   select conv_id, turn, regexp_replace(coalesce(string_agg(body, e'\n' order by i) filter (level = 0), ''), '^\s+|\s+$', '', 'g') as content,
          count(*) filter (level > 0) as quoted_lines, max(level)::int as max_level from h group by conv_id, turn
+), t as (
+  select c.conv_id, c.turn, (row_number() over (partition by c.conv_id order by c.turn) - 1)::bigint as position, c.role, m.content,
+         coalesce(b.original, lag(c.turn) over (partition by c.conv_id order by c.turn)) as reply_to, b.original is not null as linked, m.quoted_lines, m.max_level
+  from conversations c join m using (conv_id, turn) left join b on b.conv_id = c.conv_id and b.turn = c.turn and b.r = 1
+), f as (
+  select conv_id, turn, reply_to, reply_to is not null and turn = min(turn) over (partition by conv_id, reply_to) as first_ from t
+), g(conv_id, turn, branch) as (
+  select conv_id, turn, turn from f where not first_ union all select f.conv_id, f.turn, g.branch from g join f on f.conv_id = g.conv_id and f.reply_to = g.turn and f.first_
 )
-select c.conv_id, c.turn, (row_number() over (partition by c.conv_id order by c.turn) - 1)::bigint as position, c.role, m.content,
-       coalesce(b.original, lag(c.turn) over (partition by c.conv_id order by c.turn)) as reply_to, b.original is not null as linked, m.quoted_lines, m.max_level
-from conversations c join m using (conv_id, turn) left join b on b.conv_id = c.conv_id and b.turn = c.turn and b.r = 1
+select t.*, g.branch from t join g using (conv_id, turn)
 """
