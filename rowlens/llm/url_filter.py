@@ -29,7 +29,7 @@ RULES = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
-#: Rules that are compared in one expression; longer lists are joined.
+#: Rules that are compared in one expression; longer lists are joined, with the same answer.
 INLINE_RULES = 200
 
 
@@ -55,9 +55,10 @@ def url_key(url: Column) -> Column:
 
 
 def _inline(host: Column, path: Column, rules) -> Column:
-    """struct(rule, verdict) of the longest rule that fits, else null."""
+    """struct(rule, verdict) of the longest rule that fits, else null; of rules as
+    long, an allowing one, then the smaller host, then the smaller path wins."""
     found = None
-    for verdict, h, p in sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[0], r[1])):
+    for verdict, h, p in sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[0] != "allow", r[1], r[2])):
         fits = ((host == h) | F.endswith(host, F.lit("." + h))) & F.startswith(path, F.lit(p))
         got = F.struct(F.lit(h + p).alias("rule"), F.lit(verdict).alias("verdict"))
         found = F.when(fits, got) if found is None else found.when(fits, got)
@@ -72,10 +73,10 @@ def judge(urls: DataFrame, rules) -> DataFrame:
     labels = F.split("host", r"\.")
     tails = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     hosts = urls.select("host", "path").distinct().withColumn("r_host", F.explode(tails))
-    order = F.struct(F.length("rule").alias("n"), (F.col("verdict") == "allow").alias("first"), F.col("rule"), F.col("verdict"))
+    order = F.struct((-F.length("rule")).alias("n"), (F.col("verdict") != "allow").alias("later"), F.col("r_host"), F.col("r_path"), F.col("rule"), F.col("verdict"))
     best = (
         hosts.join(given, "r_host").where(F.startswith("path", F.col("r_path"))).withColumn("rule", F.concat("r_host", "r_path"))
-        .groupBy("host", "path").agg(F.max(order).alias("top"))
+        .groupBy("host", "path").agg(F.min(order).alias("top"))
         .select("host", "path", F.struct(F.col("top.rule").alias("rule"), F.col("top.verdict").alias("verdict")).alias("own"))
     )
     return urls.join(best, ["host", "path"], "left")
