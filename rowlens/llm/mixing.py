@@ -1,7 +1,7 @@
 """Mixing sources to target weights by weighted fair queueing.
 
-Documents of a source are put in a random but fixed order (a digest of seed
-and id). A document's virtual finish time is the number of words its source
+Documents of a source are put in a random but fixed order (a digest of seed, id
+and text). A document's virtual finish time is the number of words its source
 has sent up to its end, divided by the source's target; a second pass over a
 source goes on from its size. Sending all documents in the order of their
 finish times and stopping when the budget is spent brings every source near
@@ -15,7 +15,8 @@ histogram of finish times. One row for each source comes to the driver.
 
 A null text has size 0, a null source is one source and comes last; sources
 without words have target 0. Documents of size 0 take 0 words. Null or equal
-ids and repeated rows are separate documents. An empty table gives no rows.
+ids and repeated rows are separate documents; the text's digest keeps those of
+one id apart in the order. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +26,9 @@ from pyspark.sql import functions as F
 
 from rowlens.llm.common import stored, table, word_count
 
+#: Bins of the histogram of finish times, and slices of a source at least.
 SLICES = 1024
+SLICE_ROWS = 100_000
 #: Finish times in the last slice that is sorted to find the cut.
 CUT_ROWS = 10_000
 
@@ -91,12 +94,14 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: in
     taken: words of it in the mix, size times the passes that take it.
     """
     spark = docs.sparkSession
-    r = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
+    name = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+    r = F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("long")
     rows = stored(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), r.alias("r")), "mix-sizes")
     sizes = {x.source: x.n for x in rows.groupBy("source").agg(F.sum("size").alias("n")).collect()}
     target = targets(sizes, weights, share, most)
     plan = spark.createDataFrame([(s, n, float(target[s])) for s, n in sizes.items()], f"source string, source_size long, target double")
-    rows = rows.withColumn("slice", F.shiftright("r", 50))
+    bits = max(SLICES, rows.count() // SLICE_ROWS).bit_length() - 1
+    rows = rows.withColumn("slice", F.shiftright("r", 60 - bits))
     sums = rows.groupBy("source", "slice").agg(F.sum("size").alias("n"))
     w = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select("source", "slice", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("base"))
@@ -130,7 +135,7 @@ def op1_mix_sources(spark, sf_dir) -> DataFrame:
 ORACLE = r"""
 with d as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
-         ('0x' || substr(md5('mix:' || coalesce(doc_id::varchar, '')), 1, 15))::bigint as r
+         ('0x' || substr(md5('mix:' || coalesce(doc_id::varchar, '') || ':' || md5(coalesce(text, ''))), 1, 15))::bigint as r
   from documents
 ), s as (
   select source, sum(size)::bigint as source_size from d group by source
