@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowlens.llm import decontaminate, jaccard, mixing, token_files, toxicity
-from rowlens.llm.common import fresh_path, table
+from rowlens.llm.common import fresh_name, fresh_path, table
 
 
 def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +21,7 @@ def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _row_key() -> F.Column:
     """What tells rows apart even where ids repeat or are null."""
-    return F.struct("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
+    return F.struct("doc_id", F.md5("text").alias("digest"))
 
 
 def drop_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,10 +30,11 @@ def drop_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     Five-word shingles, similarity 0.8. Rows without words link with nothing
     and stay; of rows that agree in id and text, one stays.
     """
-    rows = docs.withColumn("_row", _row_key())
-    groups = jaccard.jaccard_components(rows, n=5, percent=80, id_col="_row")
-    spare = groups.where("_row != component_id").select("_row")
-    return rows.dropDuplicates(["_row"]).join(spare, "_row", "left_anti").select(docs.columns)
+    row = fresh_name(docs, "row")
+    rows = docs.withColumn(row, _row_key())
+    groups = jaccard.jaccard_components(rows, n=5, percent=80, id_col=row)
+    spare = groups.where(F.col(row) != F.col("component_id")).select(row)
+    return rows.dropDuplicates([row]).join(spare, row, "left_anti").select(docs.columns)
 
 
 def drop_contaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,12 +43,19 @@ def drop_contaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; documents it doesn't take go."""
-    rows = docs.withColumn("_row", F.md5(F.concat_ws("\0", F.col("doc_id").cast("string"), "source", "text")))
-    taken = mixing.mix_sources(rows, id_col="_row").where("taken > 0")
-    times = taken.groupBy("_row").agg(F.sum(F.col("taken") / F.col("size")).cast("int").alias("_times"))
-    out = rows.dropDuplicates(["_row"]).join(times, "_row")
-    return out.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
+    """Each document as often as the mix takes it; documents it doesn't take go.
+
+    Rows that agree in id, source and text are one document, of which one row's
+    further columns are kept; a null differs from an empty text or source.
+    """
+    row = fresh_name(docs, "row")
+    times = fresh_name(docs, "times")
+    parts = [F.coalesce(F.md5(F.col(c).cast("string")), F.lit("-")) for c in ("doc_id", "source", "text")]
+    rows = docs.withColumn(row, F.concat_ws(":", *parts))
+    taken = mixing.mix_sources(rows, id_col=row).where("taken > 0")
+    taken = taken.groupBy(row).agg(F.sum(F.col("taken") / F.col("size")).cast("int").alias(times))
+    out = rows.dropDuplicates([row]).join(taken, row)
+    return out.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(docs.columns)
 
 
 def write_tokens(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
