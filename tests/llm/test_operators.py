@@ -70,6 +70,15 @@ def test_mix_comes_near_its_targets(spark):
     assert sum(by.values()) <= 1.5 * sum(r.size for r in one)
 
 
+def test_rows_of_one_id_are_apart_in_the_order(spark, monkeypatch):
+    docs = frame(spark, [f"w{i} " * (i % 5 + 1) for i in range(300)], [None] * 150 + [4] * 150)
+    got = mixing.mix_sources(docs).collect()
+    assert len(got) == 300 and len({r.taken for r in got}) > 1
+    monkeypatch.setattr(mixing, "SLICE_ROWS", 1)
+    monkeypatch.setattr(mixing, "SLICES", 4)
+    assert sorted(map(str, mixing.mix_sources(docs).collect())) == sorted(map(str, got))
+
+
 def test_mix_edges(spark, monkeypatch):
     got = mixing.mix_sources(frame(spark, EDGE, [0, 0, None, None, 4, 4, 5, 6, 7, 8])).collect()
     assert len(got) == len(EDGE) and sum(r.size for r in got) == sum(len(words(t)) for t in EDGE)
@@ -432,16 +441,33 @@ def test_quotes_link_to_their_originals(spark):
     assert all(r.reply_to is None or r.reply_to < r.turn for r in got.values())
 
 
-def test_quotes_over_slices(spark, monkeypatch, sf):
-    rows = [(1, t, "r", ("> common\n" if t % 3 == 2 else "") + ("common" if t % 3 == 0 else f"own {t}")) for t in range(60)]
+def test_quotes_over_slices(spark, sf):
+    # a third of the rows in one conversation, turns far apart as time stamps are
+    rows = [(1, 10**12 + 3_600_000 * t, "r", ("> common\n" if t % 3 == 2 else "") + ("common" if t % 3 == 0 else f"own {t}")) for t in range(200)]
+    rows += [(c, 7 * t, "r", f"> own {t - 2}\nown {t}" if t > 1 else f"own {t}") for c in range(2, 42) for t in range(10)]
     docs = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    whole = sorted(quotes.link_quotes(docs).collect())
-    monkeypatch.setattr(quotes, "SLICE_TURNS", 7)
-    assert sorted(quotes.link_quotes(docs).collect()) == whole
-    assert all(r.reply_to == r.turn - 2 for r in whole if r.turn % 3 == 2)
+    slices = quotes.in_slices(docs, ["conv_id"], "turn")
+    assert slices.where("conv_id = 1").select("slice").distinct().count() > 1
+    got = quotes.link_quotes(docs).collect()
+    step = 3_600_000
+    assert all(r.reply_to == r.turn - 2 * step for r in got if r.conv_id == 1 and (r.turn - 10**12) // step % 3 == 2)
+    assert {(r.turn, r.branch) for r in got if r.conv_id == 2} == {(7 * t, 0 if t < 2 or t % 2 else 14) for t in range(10)}
     assert quotes.link_quotes(docs.limit(0)).count() == 0
 
 
+def test_branches_follow_replies(spark):
+    r = random.Random(8)
+    rows = []
+    for c in range(30):
+        for t in range(25):
+            to = r.randrange(t) if t else None
+            rows.append((c, t, "r", (f"> line {to}\n" if t and r.random() < 0.6 else "") + f"line {t}"))
+    got = {(x.conv_id, x.turn): x for x in quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    for (c, t), x in got.items():
+        first = x.reply_to is not None and t == min(s for (d, s), y in got.items() if d == c and y.reply_to == x.reply_to)
+        assert x.branch == (got[c, x.reply_to].branch if first else t)
+
+
 def test_quotes_equal_sql_where_there_are_quotes(spark, as_rows):
     import duckdb
 
@@ -474,6 +500,16 @@ def test_url_aliases(spark, monkeypatch):
     assert url_filter.url_filter(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("inline", [0, 200])
+def test_rules_of_equal_length(spark, monkeypatch, inline):
+    monkeypatch.setattr(url_filter, "INLINE_RULES", inline)
+    pages = spark.createDataFrame([(1, "http://a.b.com/xyz", None)], "page_id long, url string, html string")
+    one = lambda *rules: tuple(url_filter.url_filter(pages, rules).select("rule", "verdict").first())
+    assert one(("allow", "b.com", "/x"), ("allow", "com", "/xyz")) == ("b.com/x", "allow")
+    assert one(("block", "b.com", "/x"), ("allow", "com", "/xyz")) == ("com/xyz", "allow")
+    assert one(("block", "b.com", "/xy"), ("allow", "com", "/xyz")) == ("b.com/xy", "block")
+
+
 def test_url_filter_runs_no_python(spark, sf):
     plan = url_filter.op9_url_filter(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan

@@ -41,6 +41,18 @@ def test_mix_repeats_and_drops_documents(spark, sf):
     assert 0 <= 1.5 * sum(i % 9 + 1 for i in range(300)) - total <= 9
 
 
+def test_columns_and_nulls_of_any_kind(spark, sf):
+    rows = [(1, "x", None, "a"), (1, None, "x", "b"), (2, "y " * 30, "x", "c"), (None, "z", "x", "d"), (2, "", "x", "e"), (2, None, "x", "f")]
+    names = "doc_id long, text string, source string, _row string, _times string, row string, times string, no long, h long, size long, mark long"
+    docs = spark.createDataFrame([(i, t, s, k, k, k, k, 1, 2, 3, 4) for i, t, s, k in rows], names)
+    for name in ("near duplicates", "mixing"):
+        out = stage(name)(spark, docs, sf)
+        assert out.columns == docs.columns
+        kept = {r.row: r for r in out.collect()}
+        assert all(r._row == r._times == r.times == r.row for r in kept.values())
+        assert ("b" in kept and "d" in kept and "f" in kept and "e" in kept) if name == "near duplicates" else "a" in kept
+
+
 def test_stages_take_edge_rows(spark, sf):
     docs = frame(spark, EDGE + EDGE, [None, 1, 1, 2, 3, 4, 5, 6, 7, 8] * 2).drop("n")
     for _, f in pipeline.STAGES:
