@@ -1,29 +1,39 @@
-"""N-gram Jaccard join by prefix filtering with leaders, in place of vertical partitioning.
+"""N-gram Jaccard join by vertical partitioning.
 
-Shingles (by fingerprint) are cut into FRAGMENTS ranges of hash values. The
-segments of a set stay in its row; only step 1 groups by fragments.
+Shingles (by fingerprint) are cut into FRAGMENTS ranges of the global order of
+fingerprints. Each range of every set, a segment, is a row of its own.
 
 1. Texts become sets of fingerprints. The first fragments of every set are
    grouped by shingle. A shingle in the sets of one class of equal sets only
    can't be shared; a set with more of those than the similarity allows has
    no link and leaves. Grouping counts before it shuffles, so a passage that
    a third of all documents share is one row for each task.
-2. The remaining classes of equal sets are read again, whole. Each proposes
-   the shingles of its prefix, in order of frequency, rarest first: two
-   sets that link must share one of them.
-3. Within a shingle's holders, pairs are not listed. A leader (one more for
-   each further round and salt) is compared with the holders that aren't yet
-   in its component; holders in one component need no comparison any more.
+2. The remaining classes of equal sets are read again, whole, and shingles of
+   one class only leave them; they count in the sizes. A set keeps the number
+   of its shingles in each fragment. Each class proposes the shingles of its
+   prefix, in order of frequency, rarest first: two sets that link must share
+   one of them.
+3. Within a shingle's holders, pairs are not listed. A leader (one for each
+   salt, more salts in each round; the holder with the fewest shingles of its
+   own, as an original has among its copies) is compared with the holders that
+   aren't yet in its component; those in one need no comparison any more.
    When all holders that have not led are in one component, every pair of
    different components has been compared and the shingle is done. So links
    are lost between no two components, and a group of n near copies costs
-   about n comparisons.
-4. Each candidate pair's overlaps are counted fragment by fragment in one row
-   that holds both whole sets, summed and compared with the threshold exactly, in integers.
+   about n comparisons. Rounds see components only through the links between
+   the components of the round before; all links together give the result once.
+4. A pair goes no further if its fragments can't overlap enough: in none more
+   than the smaller segment. Else each fragment counts its own overlap, where
+   the two segments meet, and the counts are summed for each pair and compared
+   with the threshold exactly, in integers.
 
-Nothing here is a Python group: shuffles carry ids and fingerprints, texts
-never move, and the one table that reaches all executors is a Bloom filter of
-BLOOM_BITS bits that only saves work.
+Where many holders of a shingle pass these bounds and yet link with none, each
+of them must be compared with the others; only that case is more than linear.
+
+Nothing here is a Python group: shuffles carry numbers of classes and
+fingerprints, texts never move, and the one table that reaches all executors is
+a Bloom filter of BLOOM_BITS bits that only saves work. Tables of the rounds are
+in as many partitions as their rows need, and are deleted once superseded.
 
 Null and empty texts have empty sets and link with nothing; equal and null ids
 are separate rows, whose component is the smallest id in it (null if none);
@@ -38,7 +48,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowlens.llm.common import cut, stored, table
+from rowlens.llm.common import discard, few, stored, table
 from rowlens.llm.components import components
 from rowlens.llm.shingles import fingerprints, words
 
@@ -47,8 +57,8 @@ BLOOM_BITS = 1 << 26
 BLOOM_KEYS = 3
 #: Rarest shared shingles of each set that the first, cheap round looks at.
 FIRST_KEYS = 2
-#: Leaders of a shingle in the first full round; each further one has so many times more.
-FIRST_SALTS = 8
+#: Leaders of a shingle in the first full round, and how many times more each further one has.
+FIRST_SALTS, MORE_SALTS = 8, 16
 
 
 def _sets(texts: pa.Array, n: int):
@@ -101,7 +111,7 @@ def bloom(keys: DataFrame, column: str) -> np.ndarray:
 
 
 def _full_sets(docs: DataFrame, n: int, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
-    """(key, n, set) of the wanted classes, read from the texts once more."""
+    """(no, n, set) of the wanted classes, read from the texts once more."""
     ids = wanted.select("id").distinct()
     bits = docs.sparkSession.sparkContext.broadcast(bloom(ids, "id"))
     spots = [F.pmod(F.xxhash64(F.col(id_col), F.lit(i)), F.lit(BLOOM_BITS)).alias(f"s{i}") for i in range(BLOOM_KEYS)]
@@ -118,21 +128,21 @@ def _full_sets(docs: DataFrame, n: int, id_col: str, text_col: str, wanted: Data
                 yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), _lists(sets)], names=["key", "n", "set"])
 
     full = docs.select(F.col(text_col).alias("text"), *spots).mapInArrow(run, "key binary, n long, set array<long>")
-    return full.join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"])
+    return full.join(wanted.select("key", "no"), "key").select("no", "n", "set").dropDuplicates(["no"])
 
 
-def _overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
-    """(pairs, overlap): counted in each fragment, then summed."""
-    both = pairs.join(segments.select(F.col("key").alias("a"), F.col("parts").alias("parts_a")), "a")
-    both = both.join(segments.select(F.col("key").alias("b"), F.col("parts").alias("parts_b")), "b")
-    counts = F.zip_with("parts_a", "parts_b", lambda x, y: F.size(F.array_intersect(x, y)))
-    return both.withColumn("overlap", F.aggregate(counts, F.lit(0), lambda n, k: n + k)).drop("parts_a", "parts_b")
+def _fragment(h) -> F.Column:
+    """The fragment of a fingerprint: its range in the unsigned order."""
+    return F.shiftrightunsigned(h, 64 - FRAGMENTS.bit_length() + 1).cast("int")
 
 
 def _links(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, na, b, nb) that reach the threshold."""
-    got = _overlaps(pairs, segments)
-    return got.where(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b")
+    """Pairs that reach the threshold: overlaps are counted in each fragment, then summed by pair."""
+    one = pairs.join(segments.select(F.col("no").alias("a"), "fragment", F.col("part").alias("part_a")), "a")
+    both = one.join(segments.select(F.col("no").alias("b"), "fragment", F.col("part").alias("part_b")), ["b", "fragment"])
+    partial = both.select("a", "b", "na", "nb", "ca", "cb", F.size(F.array_intersect("part_a", "part_b")).alias("overlap"))
+    total = partial.groupBy("a", "b", "na", "nb", "ca", "cb").agg(F.sum("overlap").alias("overlap"))
+    return total.where(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b", "ca", "cb")
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -151,76 +161,81 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     lone = seen.groupBy("h").agg(F.min("k").alias("k"), F.max("k").alias("z")).where("k = z").groupBy("k").agg(F.count("*").alias("lone"))
     classes = filled.groupBy("key").agg(F.min("id").alias("id"), F.max("n").alias("n")).withColumn("k", F.xxhash64("key"))
     rest = classes.join(lone, "k", "left").where(100 * (F.col("n") - F.coalesce("lone", F.lit(0))) >= percent * F.col("n"))
-    rest = stored(rest.select("key", "id", "n"), "jaccard-rest")
+    rest = stored(rest.select("key", "id", F.monotonically_increasing_id().alias("no")), "jaccard-rest")
 
-    # 2: whole sets of the rest, their shared shingles and prefixes
+    # 2: whole sets of the rest without what no other class has, and their prefixes
     sets = stored(_full_sets(docs, n, id_col, text_col, rest), "jaccard-full")
-    each = sets.select("key", "n", F.explode("set").alias("h"))
+    each = sets.select("no", F.explode("set").alias("h"))
     often = each.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-    shared = each.join(often, "h")
-    order = Window.partitionBy("key").orderBy("df", "h")
-    ranked = shared.withColumn("rank", F.row_number().over(order)).withColumn("shared", F.count("*").over(Window.partitionBy("key")))
-    least = F.ceil(F.col("n") * percent / F.lit(100.0))
-    keys = ranked.where((100 * F.col("shared") >= percent * F.col("n")) & (F.col("rank") <= F.col("shared") - least + 1))
-    keys = keys.select("key", "n", "shared", "h", "rank")
-    named = stored(keys.select("key").distinct().select("key", F.monotonically_increasing_id().alias("no")), "jaccard-names")
-    keys = stored(keys.join(named, "key").drop("key").withColumnRenamed("no", "key"), "jaccard-keys")
-    in_use = sets.join(named, "key").drop("key").withColumnRenamed("no", "key")
-    inside = lambda f: F.filter("set", lambda h: F.shiftrightunsigned(h, 64 - FRAGMENTS.bit_length() + 1) == f)
-    segments = stored(in_use.select("key", F.array(*map(inside, range(FRAGMENTS))).alias("parts")), "jaccard-segments")
+    shared = each.join(often, "h").groupBy("no").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("order"))  # a set is one row already
+    shared = shared.join(sets.select("no", "n"), "no").withColumn("shared", F.size("order")).where(100 * F.col("shared") >= percent * F.col("n"))
+    inside = lambda f: F.filter("order", lambda x: _fragment(x.h) == f)
+    sizes = F.array(*[F.size(inside(f)) for f in range(FRAGMENTS)])
+    shared = stored(shared.select("no", "n", "shared", sizes.alias("sizes"), F.col("order.h").alias("order")), "jaccard-shared")
+    discard(sets)
+    least = F.ceil(F.col("n") * percent / F.lit(100.0)).cast("int")
+    prefix = F.slice("order", F.lit(1), F.col("shared") - least + 1)
+    keys = shared.select("no", "n", "shared", "sizes", F.posexplode(prefix).alias("rank", "h"))
+    part = lambda f: F.filter("order", lambda h: _fragment(h) == f)
+    parts = F.array(*map(part, range(FRAGMENTS)))
+    segments = shared.select("no", F.posexplode(parts).alias("fragment", "part")).where(F.size("part") > 0)
 
     # 3 and 4: leaders against holders outside their component, until none is left
-    comp = _connect(keys, segments, percent)
-    comp = comp.join(named.select(F.col("no").alias("comp"), F.col("key").alias("first")), "comp").join(named.select(F.col("no").alias("key"), F.col("key").alias("name")), "key")
-    comp = comp.select(F.col("name").alias("key"), F.col("first").alias("comp"))
-    least_id = classes.join(comp, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    group = least_id.groupBy("comp").agg(F.min("id").alias("component_id"))
-    named = least_id.join(group, "comp").select("key", "component_id")
+    links, used = _connect(keys, stored(segments, "jaccard-segments"), percent)
+    comp = components(links).select(F.col("node").alias("no"), F.col("component").alias("comp"))
+    linked = rest.select("key", "id", "no").join(comp, "no")
+    least_id = linked.groupBy("comp").agg(F.min("id").alias("component_id"))
+    named = linked.join(least_id, "comp").select("key", F.struct("component_id").alias("linked"))
+    named = stored(classes.join(named, "key", "left").select("key", F.coalesce("linked.component_id", "id").alias("component_id")), "jaccard-names")
+    discard(rest, shared, *used)
     out = rows.select("id", "n", "key").join(named, "key", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), F.hex("key").alias("class_id"))
 
 
-def _connect(keys: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """(key, comp) of the classes that link with another."""
-    # at the first shingle that two sets share, neither what no other class has
-    # nor what comes before it in the order can overlap; a pair that shares an
-    # earlier one is looked at there
-    most = F.least("sa", "sb")
-    alike = 100 * most >= percent * (F.col("na") + F.col("nb") - most)
-
-    def candidates(held: DataFrame, leaders: DataFrame) -> DataFrame:
-        p = held.select("h", F.col("key").alias("b"), F.col("n").alias("nb"), (F.col("shared") - F.col("rank") + 1).alias("sb"), F.col("comp").alias("cb")).join(leaders, "h")
-        p = p.where((F.col("ca") != F.col("cb")) & alike)
-        return p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct()
+def _connect(keys: DataFrame, segments: DataFrame, percent: int):
+    """(links, tables used): enough of the links (a, b) to give the components of all."""
+    # at the first shingle that two sets share, what comes before it in the
+    # order can't overlap; a pair that shares an earlier one is looked at there
+    enough = lambda o: 100 * o >= percent * (F.col("na") + F.col("nb") - o)
+    bound = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.least(x, y)), F.lit(0), lambda n, k: n + k)
+    columns = ["no", "n", "own", "h", "left", "sizes", "comp"]
 
     def lead(held: DataFrame, salts: int) -> DataFrame:
-        salt = F.pmod(F.xxhash64("key"), F.lit(salts))
-        top = F.min(F.struct("key", "n", "shared", "rank", "comp"))
-        return held.groupBy("h", salt.alias("salt")).agg(top.alias("l")).select("h", F.col("l.key").alias("a"), F.col("l.n").alias("na"), (F.col("l.shared") - F.col("l.rank") + 1).alias("sa"), F.col("l.comp").alias("ca"))
-
-    def current(held: DataFrame, comp: DataFrame) -> DataFrame:
-        labels = comp.select(F.col("node").alias("key"), F.col("component").alias("comp"))
-        return held.drop("comp").join(labels, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-
-    alone = keys.withColumn("comp", F.col("key"))
-    first = alone.where(F.col("rank") <= FIRST_KEYS)
-    tried = cut(candidates(first, lead(first, 1)))
-    links = cut(_links(tried, segments, percent))
-    comp, waiting, salts = components(links), keys, FIRST_SALTS
+        salt = F.pmod(F.xxhash64("no"), F.lit(salts))
+        return held.groupBy("h", salt.alias("salt")).agg(F.min(F.struct("own", "no", "n", "left", "sizes", "comp")).alias("l"))
+
+    def candidates(held: DataFrame, leaders: DataFrame) -> DataFrame:
+        l = leaders.select("h", F.col("l.no").alias("a"), F.col("l.n").alias("na"), F.col("l.left").alias("la"), F.col("l.sizes").alias("fa"), F.col("l.comp").alias("ca"))
+        p = held.select("h", F.col("no").alias("b"), F.col("n").alias("nb"), F.col("left").alias("lb"), F.col("sizes").alias("fb"), F.col("comp").alias("cb")).join(l, "h")
+        p = p.where((F.col("ca") != F.col("cb")) & enough(F.least("la", "lb")) & enough(bound))
+        ends = lambda x, y: F.when(F.col("a") < F.col("b"), F.col(x)).otherwise(F.col(y)).alias(x)
+        return p.select(*(ends(x, y) for x, y in (("a", "b"), ("b", "a"), ("na", "nb"), ("nb", "na"), ("ca", "cb"), ("cb", "ca")))).distinct()
+
+    held = keys.select("no", "n", (F.col("n") - F.col("shared")).alias("own"), "h", (F.col("shared") - F.col("rank")).alias("left"), "sizes", F.col("no").alias("comp"), "rank")
+    held = stored(held, "jaccard-held")
+    size, used, links, tried, salts = held.count(), [segments], None, None, 1
     while True:
+        first = tried is None
+        look = held.where(F.col("rank") < FIRST_KEYS) if first else held
+        leaders = stored(few(lead(few(look, size), salts), size), "jaccard-leaders")
+        fresh = candidates(few(look, size), few(leaders, size))
+        fresh = stored(few(fresh if first else few(fresh, size).join(tried, ["a", "b"], "left_anti"), size), "jaccard-pairs")
+        found = stored(_links(fresh, segments, percent), "jaccard-links")
+        used += [fresh, found]
+        links = found if first else links.unionByName(found)
+        tried = fresh.select("a", "b") if first else tried.unionByName(fresh.select("a", "b"))
         # a shingle whose waiting holders are in one component stays so
-        now = current(waiting, comp)
+        joined = components(found, "ca", "cb").select(F.col("node").alias("comp"), F.col("component").alias("to"))
+        now = few(held, size).join(few(joined, size), "comp", "left").withColumn("comp", F.coalesce("to", "comp"))
+        if not first:
+            now = few(now, size).join(few(leaders.select("h", F.col("l.no").alias("no")), size), ["h", "no"], "left_anti")
+        now = few(now, size).select(*columns, "rank")
         active = now.groupBy("h").agg(F.min("comp").alias("c"), F.max("comp").alias("d")).where("c != d").select("h")
-        held = stored(now.join(active, "h", "left_semi"), "jaccard-held")
-        if held.isEmpty():
-            return comp.select(F.col("node").alias("key"), F.col("component").alias("comp"))
-        leaders = lead(held, salts)
-        fresh = cut(candidates(held, leaders).join(tried, ["a", "b"], "left_anti"))
-        found = _links(fresh, segments, percent)
-        tried = tried.unionByName(fresh.select(tried.columns))
-        links = cut(links.unionByName(found))
-        waiting = held.join(leaders.select("h", F.col("a").alias("key")), ["h", "key"], "left_anti")
-        comp, salts = components(links), salts * FIRST_SALTS
+        waiting = stored(few(now.join(few(active, size), "h", "left_semi"), size), "jaccard-held")
+        discard(held, leaders)
+        held, size, salts = waiting, waiting.count(), FIRST_SALTS if first else salts * MORE_SALTS
+        if not size:
+            return links, [held, *used]
 
 
 def op6_jaccard_join(spark, sf_dir) -> DataFrame:

@@ -20,8 +20,8 @@ windows that the toxic dictionary is trained on are therefore those of toxic
 texts whose word, or its START first letters, is TOXIC_RATIO times likelier
 there than in ordinary texts. Document frequencies are those of a bounded sample
 of labelled documents (distinct texts, SAMPLE_TOXIC and SAMPLE_ORDINARY rows at
-most, chosen by a digest of the id), and at most TOXIC_WORDS and ORDINARY_WORDS
-words come to the driver to be trained on. The curve is fitted on a part of
+most, chosen by a digest of the id); each dictionary is trained by one task on at
+most TOXIC_WORDS or ORDINARY_WORDS words, and only its bytes come to the driver. The curve is fitted on a part of
 the sample that the dictionaries have not seen; rows of a class that the sample
 cuts short weigh more by as much, so the curve is the same at any size.
 
@@ -201,14 +201,21 @@ def _word_table(texts: DataFrame) -> DataFrame:
     return each.groupBy(F.col("w.words").alias("word"), F.col("w.starts").alias("start")).agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("o"))
 
 
-def _samples(rows: list) -> list[bytes]:
-    """Windows to train on: a word as often as texts hold it, up to WORD_TIMES.
+def _dictionary(words: DataFrame, size: int) -> bytes:
+    """A dictionary trained by one task on a bounded table (word, n): a word counts n times, up to WORD_TIMES.
 
     The trainer takes something from each stretch of its input, so the order is mixed.
     """
-    out = [b" " + bytes(r.word) + b" " for r in rows for _ in range(min(r.n, WORD_TIMES))]
-    random.Random(0).shuffle(out)
-    return out
+    def run(batches):
+        samples: list[bytes] = []
+        for batch in batches:
+            for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                samples.extend([b" " + w + b" "] * min(n, WORD_TIMES))
+        random.Random(0).shuffle(samples)
+        yield pa.RecordBatch.from_arrays([pa.array([trained(samples, size)], pa.binary())], names=["dictionary"])
+
+    got = words.mapInArrow(run, "dictionary binary").collect()
+    return b"".join(bytes(r.dictionary) for r in got)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
@@ -231,9 +238,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     starts = marks(df.where("start is not null").groupBy("start").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))).select("start", F.lit(True).alias("marked"))
     marked = df.join(F.broadcast(starts.limit(TOXIC_WORDS)), "start", "left")
     own = (F.col("t") >= TOXIC_TEXTS) & (F.col("t") / n[1] > TOXIC_RATIO * (F.col("o") + 0.5) / n[0])
-    toxic = marked.where((F.col("t") > 0) & (own | F.coalesce("marked", F.lit(False)))).orderBy(F.desc("t"), "word").limit(TOXIC_WORDS).select("word", F.col("t").alias("n")).collect()
-    plain = df.where("o > 0").orderBy(F.desc("o"), "word").limit(ORDINARY_WORDS).select("word", F.col("o").alias("n")).collect()
-    model = Model(trained(_samples(plain), ORDINARY_BYTES), trained(_samples(toxic), TOXIC_BYTES))
+    toxic = marked.where((F.col("t") > 0) & (own | F.coalesce("marked", F.lit(False)))).orderBy(F.desc("t"), "word").limit(TOXIC_WORDS).select("word", F.col("t").alias("n"))
+    plain = df.where("o > 0").orderBy(F.desc("o"), "word").limit(ORDINARY_WORDS).select("word", F.col("o").alias("n"))
+    model = Model(_dictionary(plain, ORDINARY_BYTES), _dictionary(toxic, TOXIC_BYTES))
 
     def measure(batches):
         scorer = model.scorer()
