@@ -47,12 +47,12 @@ def json_as_text_exact(value: pd.Series) -> pd.Series:
 
 
 def grouped(n: Column) -> Column:
-    """1234567 as 1.234.567; null as a dash."""
+    """A whole number in groups of three between points; null as a dash."""
     return F.coalesce(F.translate(F.format_number(n.cast("decimal(38,0)"), 0), ",", "."), F.lit("-"))
 
 
 def byte_size(n: Column) -> Column:
-    """38400000000 as 35,8 GB."""
+    """Bytes with one decimal in the largest unit that fits: 1536 as 1,5 KB."""
     x, units = n.cast("double"), ("B", "KB", "MB", "GB", "TB", "PB")
     out = F.when(n.isNull(), "-").when(F.abs(x) < 1024, F.concat(x.cast("long").cast("string"), F.lit(" B")))
     for i, u in enumerate(units[1:], 1):
@@ -62,7 +62,7 @@ def byte_size(n: Column) -> Column:
 
 
 def duration(seconds: Column) -> Column:
-    """0.0431 as 43,1 ms, 91.4 as 1 dk 31 sn."""
+    """Seconds as milliseconds, seconds, minutes or hours: 0.25 as 250,0 ms, 75 as 1 dk 15 sn."""
     s, whole = seconds.cast("double"), F.floor(seconds).cast("long")
     comma = lambda f, x: F.translate(F.format_string(f, x), ".", ",")
     two = lambda x: F.lpad(x.cast("string"), 2, "0")
@@ -86,8 +86,3 @@ def row_rate(n: Column, seconds: Column) -> Column:
 def percent(part: Column, whole: Column) -> Column:
     """A share from 0 to 100; 0 of nothing."""
     return F.when(F.coalesce(whole, F.lit(0)) == 0, 0.0).otherwise(F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.lit(100.0) * part / whole)))
-
-
-def pdf_text(s: Column) -> Column:
-    """Turkish letters that the PDF fonts lack, folded."""
-    return F.translate(s, "ğĞşŞıİ", "gGsSiI")

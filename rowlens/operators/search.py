@@ -7,9 +7,8 @@ partition; the stored hits are a top-k cut of them and the total is a sum.
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rowlens.operators.order import sorted_view
@@ -18,28 +17,37 @@ from rowlens.spec import HIT_ROWS, PREVIEW_BYTES, SearchSpec
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+# The letters that Turkish pairs differently, small and capital.
+SMALL, CAPITAL = "iı", "İI"
+_RAISED, _LOWERED = str.maketrans(SMALL, CAPITAL), str.maketrans(CAPITAL, SMALL)
+
+
 def turkish_upper(s: str) -> str:
-    return s.replace("i", "İ").replace("ı", "I").upper()
+    return s.translate(_RAISED).upper()
 
 
 def turkish_lower(s: str) -> str:
-    return s.replace("I", "ı").replace("İ", "i").lower()
+    return s.translate(_LOWERED).lower()
 
 
 def turkish_upper_col(c: Column) -> Column:
-    return F.upper(F.translate(c, "iı", "İI"))
+    return F.upper(F.translate(c, SMALL, CAPITAL))
 
 
 def turkish_lower_col(c: Column) -> Column:
-    return F.lower(F.translate(c, "Iİ", "ıi"))
+    return F.lower(F.translate(c, CAPITAL, SMALL))
+
+
+#: Spellings of a whole query, and how its first letter is raised where the rest is in Turkish small letters.
+WHOLE = (str, str.lower, str.upper, str.capitalize, turkish_lower, turkish_upper)
+FIRST = (str.upper, turkish_upper)
 
 
 def spellings(query: str) -> list[str]:
     """Spellings of a non-ASCII query that a fold by bytes has to try."""
-    low = turkish_lower(query)
-    tried = [query, query.lower(), query.upper(), query.capitalize(), low, turkish_upper(query)]
-    tried += [head + low[1:] for head in (low[:1].upper(), turkish_upper(low[:1]))]
-    return sorted({t for t in tried if t})
+    small = turkish_lower(query)
+    tried = {spell(query) for spell in WHOLE} | {raise_(small[:1]) + small[1:] for raise_ in FIRST}
+    return sorted(tried - {""})
 
 
 def _quoted(s: str) -> str:
@@ -54,10 +62,10 @@ class Pattern:
         self.approximate = not spec.regex and not spec.case and not spec.query.isascii()
         self.folded = not spec.regex and not spec.case and spec.query.isascii()
         if spec.regex:
-            try:
-                re.compile(spec.query.encode("utf-8"))
-            except re.error as e:
-                raise ValueError(f"not a regular expression: {e}") from e
+            try:  # by the engine that will run it
+                SparkSession.active()._jvm.java.util.regex.Pattern.compile(self.java)
+            except IllegalArgumentException as e:
+                raise ValueError(f"not a regular expression: {e}") from None
         self.literals = [] if spec.regex else [spec.query.lower()] if self.folded else spellings(spec.query) if self.approximate else [spec.query]
 
     def _line(self, raw: Column) -> Column:
@@ -83,24 +91,26 @@ class Pattern:
 
     def positions(self, raw: Column) -> Column:
         """array<long>: byte offsets of the occurrences in the line."""
-        line, java = self._line(raw), self.java
-        if self.spec.regex:
-            mark = F.regexp_replace(line, f"({java})", "\x00$1\x01")
-            parts = F.split(mark, "\x00")
-            sizes = F.transform(parts, lambda p: F.octet_length(F.replace(p, F.lit("\x01"), F.lit(""))).cast("long"))
-        else:
-            parts = F.split(line, java, -1)
-            sizes = F.transform(parts, lambda p: F.octet_length(p).cast("long"))
-        ends = F.transform(F.sequence(F.lit(1), F.size(sizes)), lambda i: F.aggregate(F.slice(sizes, 1, i), F.lit(0).cast("long"), lambda a, n: a + n))
-        inner = F.slice(ends, 1, F.greatest(F.size(ends) - 1, F.lit(0)))
-        if self.spec.regex:
-            return inner
-        # split() makes no empty first part for a look-ahead at the very start
-        starts = [F.startswith(line, F.lit(t)) for t in self.literals]
-        at_start = starts[0]
-        for s in starts[1:]:
-            at_start = at_start | s
-        return F.when(at_start, F.concat(F.array(F.lit(0).cast("long")), inner)).otherwise(inner)
+        line, java = self._line(raw), F.lit(self.java)
+        long = lambda c: F.octet_length(c).cast("long")
+        between = F.split(line, self.java, -1)
+        found = F.regexp_extract_all(line, java, F.lit(0))
+        # split() makes no empty first part for an empty match at the very start
+        between = F.when(F.size(between) == F.size(found), F.concat(F.array(F.lit("")), between)).otherwise(between)
+        steps = F.zip_with(F.slice(between, 1, F.size(found)), F.concat(F.array(F.lit("")), found), lambda gap, match: long(gap) + long(match))
+        return F.when(F.size(found) > 0, running_sums(F.slice(steps, 1, F.size(found)))).otherwise(F.array().cast("array<bigint>"))
+
+
+def running_sums(numbers: Column, block: int = 32) -> Column:
+    """Sums of an array up to each place, by sums of blocks; linear for all but the longest arrays."""
+    add = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, n: a + n)
+    blocks = F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / block).cast("int"))
+    whole = F.transform(blocks, lambda i: add(F.slice(numbers, i * block + 1, block)))
+    one = lambda i: F.transform(
+        F.slice(numbers, i * block + 1, block),
+        lambda _, j: add(F.slice(whole, 1, i)) + add(F.slice(numbers, i * block + 1, j + 1)),
+    )
+    return F.flatten(F.transform(blocks, one))
 
 
 def search_rows(rows: DataFrame, spec: SearchSpec, raw: str = "raw") -> DataFrame:
@@ -121,29 +131,46 @@ def search_total(rows: DataFrame, spec: SearchSpec, raw: str = "raw") -> DataFra
     return rows.agg(F.count(hits).alias("rows"), F.coalesce(F.sum(hits), F.lit(0)).cast("long").alias("hits"))
 
 
-def search_hits(rows: DataFrame, spec: SearchSpec, row_no: str = "row_no", raw: str = "raw", start_row: int | None = None) -> DataFrame:
+def search_positions(rows: DataFrame, spec: SearchSpec, row_no: str = "row_no", raw: str = "raw") -> DataFrame:
+    """(row_no, position) of every occurrence, without order or cap; position counts bytes from the line's start."""
+    p = Pattern(spec)
+    held = rows.where(p.matches(F.col(raw)))
+    return held.select(F.col(row_no).alias("row_no"), F.explode(p.positions(F.col(raw))).alias("position"))
+
+
+def search_hits(rows: DataFrame, spec: SearchSpec, row_no: str = "row_no", raw: str = "raw", start_row: int | None = None, offset: str | None = None, start_offset: int | None = None) -> DataFrame:
     """(hit_no, row_no, position, preview, cut): the first spec.limit occurrences.
 
     position counts bytes from the line's start. The preview holds the line's
-    first bytes, an incomplete character at its end replaced. Beyond HIT_ROWS
-    rows are range-sorted and their hits numbered by the counts of their partitions.
+    first bytes, an incomplete character at its end replaced. With offset, the
+    column of a line's place in its file, hits also have their own, and begin at
+    start_offset. Beyond HIT_ROWS rows are range-sorted and their hits numbered
+    by the counts of their partitions.
     """
     p = Pattern(spec)
     held = rows.where(p.matches(F.col(raw)))
     if start_row is not None:
         held = held.where(F.col(row_no) >= start_row)
     size = F.octet_length(raw)
+    if start_offset is not None:
+        held = held.where(F.col(offset) + size >= start_offset)
     preview = F.make_valid_utf8(F.substring(F.col(raw).cast("binary"), 1, PREVIEW_BYTES).cast("string"))
     shown = F.when(size > PREVIEW_BYTES, preview).otherwise(F.col(raw))
-    found = lambda of: of.select("row_no", F.explode("at").alias("position"), "preview", "cut")
-    columns = F.col(row_no).alias("row_no"), p.positions(F.col(raw)).alias("at"), shown.alias("preview"), (size > PREVIEW_BYTES).alias("cut")
+    place = [F.col(offset).alias("_line_offset")] if offset else []
+    columns = F.col(row_no).alias("row_no"), p.positions(F.col(raw)).alias("at"), shown.alias("preview"), (size > PREVIEW_BYTES).alias("cut"), *place
+
+    def found(of: DataFrame) -> DataFrame:
+        out = of.select("row_no", F.explode("at").alias("position"), "preview", "cut", *(["_line_offset"] if offset else []))
+        out = out.withColumn("offset", F.col("_line_offset") + F.col("position")).drop("_line_offset") if offset else out
+        return out if start_offset is None else out.where(F.col("offset") >= start_offset)
+
     if spec.limit > HIT_ROWS:
         dealt = held.repartitionByRange(row_no).sortWithinPartitions(row_no).select(*columns).persist()
         numbered = sorted_view(found(dealt), "hit_no", keep=False).where(F.col("hit_no") < spec.limit)
     else:
         first = found(held.select(*columns)).orderBy("row_no", "position").limit(spec.limit)
         numbered = first.withColumn("hit_no", (F.row_number().over(Window.orderBy("row_no", "position")) - 1).cast("long"))
-    return numbered.select("hit_no", "row_no", "position", "preview", "cut")
+    return numbered.select("hit_no", "row_no", "position", *(["offset"] if offset else []), "preview", "cut")
 
 
 def step(hits: int, current: int, forward: bool = True) -> int:

@@ -393,6 +393,7 @@ def open_store(spark: SparkSession, out_dir: str) -> tuple[DataFrame, Manifest]:
     fs, at = open_path(out_dir)
     with fs.open_input_stream(f"{at}/MANIFEST.json") as f:
         m = Manifest(**json.loads(f.read()))
+    m.selector["path"] = tuple(m.selector["path"])  # JSON has no tuples
     return spark.read.parquet(f"{out_dir.rstrip('/')}/records").where(F.col("row_id").isNotNull()).select("row_id", "kind", "record"), m
 
 

@@ -171,9 +171,9 @@ def test_b64(spark):
 def test_units(spark):
     r = spark.range(1).select(
         text.grouped(F.lit(1234567)).alias("n"), text.byte_size(F.lit(38400000000)).alias("b"), text.duration(F.lit(0.0431)).alias("m"), text.duration(F.lit(91.4)).alias("d"),
-        text.byte_rate(F.lit(1 << 30), F.lit(1.0)).alias("r"), text.percent(F.lit(1), F.lit(0)).alias("p"), text.pdf_text(F.lit("ğİ")).alias("f"), text.row_rate(F.lit(10), F.lit(0.0)).alias("z"),
+        text.byte_rate(F.lit(1 << 30), F.lit(1.0)).alias("r"), text.percent(F.lit(1), F.lit(0)).alias("p"), text.row_rate(F.lit(10), F.lit(0.0)).alias("z"),
     ).first()
-    assert tuple(r) == ("1.234.567", "35,8 GB", "43,1 ms", "1 dk 31 sn", "1,0 GB/sn", 0.0, "gI", "-")
+    assert tuple(r) == ("1.234.567", "35,8 GB", "43,1 ms", "1 dk 31 sn", "1,0 GB/sn", 0.0, "-")
     shown = spark.createDataFrame([('[1,{"a":null}]',), ("true",), (None,)], "v string").select(text.json_as_text_exact("v").alias("e"), text.json_as_text(F.col("v"), True).alias("l")).collect()
     assert [x.e for x in shown] == ['[1, {"a": null}]', "true", ""] and [x.l for x in shown] == ['[1,{"a":null}]', "True", ""]
 
