@@ -62,6 +62,16 @@ def unreadable(rows: DataFrame, spec: SortSpec) -> DataFrame:
     return rows.agg(F.count("*").alias("examined"), F.count_if(key.isNull()).alias("excluded"))
 
 
+def top_k_report(rows: DataFrame, spec: SortSpec, k: int, raw: str) -> DataFrame:
+    """One row about a top-k: rows and bytes examined, rows whose key can't be read, rows shown, and whether k cut some off."""
+    key = sort_key(spec)
+    readable = F.count(key)
+    return rows.agg(
+        F.count("*").alias("examined"), F.coalesce(F.sum(F.octet_length(raw).cast("long")), F.lit(0)).alias("bytes"), F.count_if(key.isNull()).alias("excluded"),
+        F.least(readable, F.lit(k)).cast("long").alias("shown"), (readable > k).alias("cut"),
+    )
+
+
 def sort_page(rows: DataFrame, spec: SortSpec, start: int, count: int, row_no: str = "row_no") -> DataFrame:
     """A stable sort of the rows [start, start + count)."""
     if count < 1 or start < 0:

@@ -91,26 +91,38 @@ class Pattern:
 
     def positions(self, raw: Column) -> Column:
         """array<long>: byte offsets of the occurrences in the line."""
-        line, java = self._line(raw), F.lit(self.java)
+        line = self._line(raw)
         long = lambda c: F.octet_length(c).cast("long")
-        between = F.split(line, self.java, -1)
-        found = F.regexp_extract_all(line, java, F.lit(0))
-        # split() makes no empty first part for an empty match at the very start
-        between = F.when(F.size(between) == F.size(found), F.concat(F.array(F.lit("")), between)).otherwise(between)
-        steps = F.zip_with(F.slice(between, 1, F.size(found)), F.concat(F.array(F.lit("")), found), lambda gap, match: long(gap) + long(match))
-        return F.when(F.size(found) > 0, running_sums(F.slice(steps, 1, F.size(found)))).otherwise(F.array().cast("array<bigint>"))
+
+        def places(p: Column) -> Column:
+            between, found = p["between"], p["found"]
+            # split() makes no empty first part for an empty match at the very start
+            gaps = F.when(F.size(between) == F.size(found), F.concat(F.array(F.lit("")), between)).otherwise(between)
+            before = F.concat(F.array(F.lit("")), found)
+            return running_sums(F.zip_with(F.slice(gaps, 1, F.size(found)), F.slice(before, 1, F.size(found)), lambda gap, match: long(gap) + long(match)))
+
+        parts = F.struct(F.split(line, self.java, -1).alias("between"), F.regexp_extract_all(line, F.lit(self.java), F.lit(0)).alias("found"))
+        return _bound(parts, places)
+
+
+def _bound(value: Column, use) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def running_sums(numbers: Column, block: int = 32) -> Column:
-    """Sums of an array up to each place, by sums of blocks; linear for all but the longest arrays."""
+    """Sums of an array of longs up to each place, by sums of blocks; linear for all but the longest arrays."""
     add = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, n: a + n)
-    blocks = F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / block).cast("int"))
-    whole = F.transform(blocks, lambda i: add(F.slice(numbers, i * block + 1, block)))
-    one = lambda i: F.transform(
-        F.slice(numbers, i * block + 1, block),
-        lambda _, j: add(F.slice(whole, 1, i)) + add(F.slice(numbers, i * block + 1, j + 1)),
-    )
-    return F.flatten(F.transform(blocks, one))
+
+    def sums(xs: Column) -> Column:
+        blocks = F.when(F.size(xs) > 0, F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / block).cast("int"))).otherwise(F.array().cast("array<int>"))
+        whole = F.transform(blocks, lambda i: add(F.slice(xs, i * block + 1, block)))
+        return _bound(whole, lambda w: F.flatten(F.transform(w, lambda _, i: _bound(add(F.slice(w, 1, i)), lambda base: within(xs, base, i)))))
+
+    def within(xs: Column, base: Column, i: Column) -> Column:
+        return _bound(F.slice(xs, i * block + 1, block), lambda part: F.transform(part, lambda _, j: base + add(F.slice(part, 1, j + 1))))
+
+    return _bound(numbers, sums)
 
 
 def search_rows(rows: DataFrame, spec: SearchSpec, raw: str = "raw") -> DataFrame:

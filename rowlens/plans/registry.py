@@ -1,59 +1,21 @@
 """Queries of the record-inspection engine over the driver's tables, with their SQL.
 
-A table's key column serves as row number. Queries that read files first write
-a whole table in the format at hand to a fresh folder that driver and
-executors share, and read it back through the byte-range reader.
+A table's key column serves as row number. Queries over files and documents are
+in rowlens.plans.documents, those over views and selections in rowlens.plans.views.
 """
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rowlens.functions import b64, text
 from rowlens.operators import navigate, normalize, order, search, select
-from rowlens.session import open_file
+from rowlens.plans import base, documents, views  # noqa: F401  their queries register themselves
+from rowlens.plans.base import ORACLES, QUERIES  # noqa: F401  the driver's entry reads them here
+from rowlens.plans.base import query as _query
+from rowlens.plans.base import table as _table
 from rowlens.sources import export
-from rowlens.sources.detect import open_path
 from rowlens.spec import B64Spec, SearchSpec, SortSpec
-from rowlens.streaming import ingest
-
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def _query(sql: str | None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _scratch(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/records-{uuid.uuid4().hex}"
-
-
-def _file(lines: DataFrame, ending: str) -> str:
-    """One file of the lines (value, ordered by no); returns its path."""
-    spark = lines.sparkSession
-    folder = _scratch(spark)
-    lines.repartitionByRange(1, "no").sortWithinPartitions("no").select("value").write.option("lineSep", "\n").text(folder)
-    fs, at = open_path(folder)
-    from pyarrow.fs import FileSelector
-
-    part = next(f.path for f in fs.get_file_info(FileSelector(at)) if "/part-" in f.path and f.size)
-    fs.move(part, f"{at}/data{ending}")
-    return f"{folder}/data{ending}"
 
 
 def flagship(spark, sf_dir):
@@ -105,8 +67,9 @@ select row_number() over (order by d.source, i.input_pos) - 1 as view_pos, i.row
 def list_sort_hits(spark, sf_dir):
     """Hits of a search sorted by another column, one row for each occurrence."""
     docs = _table(spark, sf_dir, "documents")
-    hits = search.search_hits(docs, SearchSpec("the", case=True, limit=1 << 30), "doc_id", "text")
-    return order.sort_list(docs, SortSpec("source"), hits.select(F.col("hit_no").alias("input_pos"), "row_no"), "doc_id")
+    hits = search.search_positions(docs, SearchSpec("the", case=True), "doc_id", "text")
+    hits = order.sorted_view(hits.repartitionByRange("row_no", "position").sortWithinPartitions("row_no", "position").select("row_no"), "input_pos")
+    return order.sort_list(docs, SortSpec("source"), hits, "doc_id")
 
 
 _SPELT = {
@@ -387,78 +350,3 @@ def grouped_numbers(spark, sf_dir):
 @_query("select c_custkey, c_custkey || e'\\t' || c_name || e'\\t' || c_mktsegment as line from customer")
 def tsv_lines(spark, sf_dir):
     return _table(spark, sf_dir, "customer").select("c_custkey", export.tsv_line(["c_custkey", "c_name", "c_mktsegment"]).alias("line"))
-
-
-# --- files -----------------------------------------------------------------
-
-
-def _customers(spark, sf_dir, value, head="", tail=""):
-    rows = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("no"), value.alias("value"))
-    for no, line in ((-1, head), (1 << 40, tail)):
-        if line:
-            rows = rows.unionByName(spark.createDataFrame([(no, line)], "no long, value string"))
-    return rows
-
-
-_CUSTOMERS = "select row_number() over (order by c_custkey) - 1 as row_no, c_custkey::varchar as id, c_name as name, c_mktsegment as segment from customer"
-
-
-def _named(data) -> DataFrame:
-    cols = data.spec.columns
-    return data.table.select("row_no", *[F.col(c).alias(n) for c, n in zip(cols, ("id", "name", "segment"), strict=True)])
-
-
-@_query(_CUSTOMERS)
-def csv_roundtrip(spark, sf_dir):
-    """Delimited text with a header: detected, split, numbered, decoded."""
-    path = _file(_customers(spark, sf_dir, F.concat_ws(";", "c_custkey", "c_name", "c_mktsegment"), "id;name;segment"), ".csv")
-    return _named(open_file(spark, path, split_bytes=4096))
-
-
-@_query(_CUSTOMERS)
-def json_roundtrip(spark, sf_dir):
-    """One JSON object a line inside a wrapper whose lines are no records."""
-    value = F.concat(F.to_json(F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))), F.lit(","))
-    path = _file(_customers(spark, sf_dir, value, '{"count": 1500, "rows": [', "]}"), ".json")
-    return _named(open_file(spark, path, split_bytes=4096))
-
-
-@_query(_CUSTOMERS)
-def xml_roundtrip(spark, sf_dir):
-    value = F.format_string("<row><id>%s</id><name>%s</name><segment>%s</segment></row>", "c_custkey", "c_name", "c_mktsegment")
-    path = _file(_customers(spark, sf_dir, value, "<rows>", "</rows>"), ".xml")
-    return _named(open_file(spark, path, split_bytes=4096))
-
-
-@_query(_CUSTOMERS)
-def yaml_roundtrip(spark, sf_dir):
-    value = F.format_string('- ["%s", "%s", "%s"]', "c_custkey", "c_name", "c_mktsegment")
-    path = _file(_customers(spark, sf_dir, value, "rows:"), ".yaml")
-    return _named(open_file(spark, path, split_bytes=4096))
-
-
-@_query("select row_number() over (order by doc_id) - 1 as row_no, doc_id::varchar as id, text as body, lang as tongue from documents")
-def csv_quoted_roundtrip(spark, sf_dir):
-    """Quoted text with line feeds inside; splits begin in and out of quotes."""
-    quote = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
-    rows = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("no"), F.concat_ws(",", "doc_id", quote(F.col("text")), "lang").alias("value"))
-    data = open_file(spark, _file(rows, ".csv"), delimiter=",", header=False, quoted=True, split_bytes=1 << 16)
-    return data.table.select("row_no", *[F.col(c).alias(n) for c, n in zip(data.spec.columns, ("id", "body", "tongue"), strict=False)])
-
-
-@_query("select count(*) as exact, 10::bigint as declared, count(*) - 10 as difference from customer")
-def integrity_check(spark, sf_dir):
-    value = F.to_json(F.array(F.col("c_custkey").cast("string"), "c_name"))
-    path = _file(_customers(spark, sf_dir, value, '{"count": 10, "rows": ['), ".json")
-    return open_file(spark, path, split_bytes=4096).integrity()
-
-
-@_query("select 'object' as kind, count(*) as records, true as complete from customer")
-def import_document(spark, sf_dir):
-    """A named array of a JSON document imported into a store with a manifest."""
-    value = F.concat(F.when(F.row_number().over(Window.orderBy("c_custkey")) > 1, ",").otherwise(""), F.to_json(F.struct("c_custkey", "c_name")))
-    path = _file(_customers(spark, sf_dir, value, '{"meta": {"a": [1]}, "list": [', "]}"), ".json")
-    out = _scratch(spark)
-    m = ingest.import_document(spark, path, out, ingest.Selector("name", "list"))
-    store, _ = ingest.open_store(spark, out)
-    return store.groupBy("kind").agg(F.count("*").alias("records")).withColumn("complete", F.lit(m.complete))

@@ -1,32 +1,56 @@
-"""Numbered records of a file of any size, read in byte ranges.
+"""Numbered records of files of any size, read in byte ranges.
 
 A split owns the records that start in it. One pass counts the starts in each
 split, for both cases of a quote being open where it begins; the driver holds
 three numbers for each split, runs through them in order and so knows every
 split's first row number and whether it begins inside quotes. A second pass
-reads the records. Nothing else is sequential.
+reads the records, of all splits or of those that hold the wanted rows. Nothing
+else is sequential. Splits grow with the data, MAX_SPLITS at most. The planned
+splits are the index of the files: they can be kept as Parquet and used again.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from rowlens.sources.detect import detect, open_path
 from rowlens.spec import RECORD_BYTES, SourceError, SourceSpec
 
-SPLIT_BYTES = 16 << 20
+SPLIT_BYTES, MAX_SPLITS = 16 << 20, 100_000
 STEP_BYTES = 1 << 20
 BATCH_RECORDS = 5000
 SCHEMA = "row_no long, byte_offset long, line string"
 
 
-def splits_of(spec: SourceSpec, split_bytes: int = SPLIT_BYTES) -> list[tuple[int, int, int]]:
-    """(split, start, end) over the data region."""
-    starts = range(spec.data_start, max(spec.data_end, spec.data_start + 1), split_bytes)
-    return [(i, a, min(a + split_bytes, spec.data_end)) for i, a in enumerate(starts)]
+class Split(NamedTuple):
+    """A byte range of a file, and what the counting pass found out about it."""
+
+    no: int
+    path: str
+    start: int
+    end: int
+    data_end: int
+    first: bool
+    row: int = 0
+    inside: int = 0
+    rows: int = 0
+
+
+_SPLIT = "no long, path string, start long, end long, data_end long, first boolean, row long, inside int, rows long"
+
+
+def splits_of(spec: SourceSpec, split_bytes: int = SPLIT_BYTES) -> list[Split]:
+    """Splits over the data regions of all files, in order."""
+    step = max(split_bytes, -(-sum(b - a for _, a, b in spec.regions()) // MAX_SPLITS))
+    bounds = [(path, at, min(at + step, b), b, at == a) for path, a, b in spec.regions() for at in range(a, b, step)]
+    return [Split(i, *x) for i, x in enumerate(bounds)]
 
 
 def _ends(block: bytes, quoted: bool, inside: int):
@@ -45,37 +69,37 @@ def _read(f, start: int, end: int) -> bytes:
     return f.read(max(0, end - start))
 
 
-def split_counts(spec: SourceSpec, start: int, end: int) -> tuple[int, int, int]:
-    """(record starts if no quote is open, if one is, parity of quotes) of a split."""
-    fs, at = open_path(spec.path)
+def split_counts(split: Split, quoted: bool) -> tuple[int, int, int]:
+    """(record starts if no quote is open, if one is, parity of quotes) after a split's first byte."""
+    fs, at = open_path(split.path)
     with fs.open_input_file(at) as f:
-        block = _read(f, start, end)
+        block = _read(f, split.start, split.end)
     out = []
     for inside in (0, 1):
-        ends, _ = _ends(block, spec.quoted, inside)
-        starts = start + ends + 1
-        out.append(int((starts < spec.data_end).sum()))
-    return out[0], out[1], block.count(b'"') % 2 if spec.quoted else 0
+        ends, _ = _ends(block, quoted, inside)
+        out.append(int((split.start + ends + 1 < split.data_end).sum()))
+    return out[0], out[1], block.count(b'"') % 2 if quoted else 0
 
 
-def split_records(spec: SourceSpec, start: int, end: int, first: bool, inside: int):
-    """(offset, bytes) of the records after the record ends inside a split; the
-    first split also has the one at its start."""
-    fs, at = open_path(spec.path)
+def split_records(split: Split, quoted: bool):
+    """(offset, bytes) of the records after the record ends inside a split; a
+    file's first split also has the one at its start."""
+    fs, at = open_path(split.path)
+    start, end, data_end = split.start, split.end, split.data_end
     with fs.open_input_file(at) as f:
         block = _read(f, start, end)
-        ends, state = _ends(block, spec.quoted, inside)
-        bounds = [start] if first else []
-        bounds += [start + int(e) + 1 for e in ends if start + e + 1 < spec.data_end]
+        ends, state = _ends(block, quoted, split.inside)
+        bounds = [start] if split.first else []
+        bounds += [start + int(e) + 1 for e in ends if start + e + 1 < data_end]
         if not bounds:
             return
         for a, b in zip(bounds, bounds[1:], strict=False):
             yield a, block[a - start : b - start - 1]
         last, pos = bounds[-1], end
         held = [block[last - start :]]
-        while pos < spec.data_end:
-            more = _read(f, pos, min(pos + STEP_BYTES, spec.data_end))
-            got, state = _ends(more, spec.quoted, state)
+        while pos < data_end:
+            more = _read(f, pos, min(pos + STEP_BYTES, data_end))
+            got, state = _ends(more, quoted, state)
             if len(got):
                 held.append(more[: int(got[0])])
                 break
@@ -84,39 +108,59 @@ def split_records(spec: SourceSpec, start: int, end: int, first: bool, inside: i
             if pos - last > RECORD_BYTES:
                 raise SourceError(f"the record at byte {last} is longer than {RECORD_BYTES} bytes")
         raw = b"".join(held)
-        yield last, raw[:-1] if pos >= spec.data_end and raw.endswith(b"\n") else raw
+        yield last, raw[:-1] if pos >= data_end and raw.endswith(b"\n") else raw
+
 
+def _table(spark: SparkSession, splits: list[Split]) -> DataFrame:
+    """The splits, dealt evenly to tasks."""
+    return spark.createDataFrame(splits, _SPLIT).repartition(max(1, min(len(splits), 10_000)))
 
-def plan(spark: SparkSession, spec: SourceSpec, split_bytes: int = SPLIT_BYTES):
-    """[(split, start, end, first row, inside quotes)] of a file."""
-    splits = splits_of(spec, split_bytes)
 
-    def count(frames):
-        for frame in frames:
-            got = [split_counts(spec, a, b) for a, b in zip(frame["a"], frame["b"], strict=True)]
-            yield frame[["i"]].assign(out=[g[0] for g in got], quoted=[g[1] for g in got], parity=[g[2] for g in got])
+def plan(spark: SparkSession, spec: SourceSpec, split_bytes: int = SPLIT_BYTES) -> list[Split]:
+    """The splits of the files with their first rows, quote states and numbers of records."""
+    splits, quoted = splits_of(spec, split_bytes), spec.quoted
 
-    table = spark.createDataFrame(splits, "i long, a long, b long").repartition(max(1, min(len(splits), 10_000)), "i")
-    counts = {r.i: r for r in table.mapInPandas(count, "i long, out long, quoted long, parity long").collect()}
+    def count(batches):
+        for batch in batches:
+            got = [(s["no"], *split_counts(Split(**s), quoted)) for s in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*got, strict=True)], names=["no", "outside", "inside", "parity"])
+
+    counts = {r.no: r for r in _table(spark, splits).mapInArrow(count, "no long, outside long, inside long, parity long").collect()} if splits else {}
     planned, row, inside = [], 0, 0
-    for i, a, b in splits:
-        planned.append((i, a, b, row, inside))
-        row += (1 if i == 0 and spec.data_end > spec.data_start else 0) + (counts[i].quoted if inside else counts[i].out)
-        inside ^= counts[i].parity
+    for s in splits:
+        inside = 0 if s.first else inside
+        c = counts[s.no]
+        rows = s.first + (c.inside if inside else c.outside)
+        planned.append(s._replace(row=row, inside=inside, rows=rows))
+        row, inside = row + rows, inside ^ c.parity
     return planned
 
 
-def read_lines(spark: SparkSession, spec: SourceSpec, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """(row_no, byte_offset, line) of every record of a file."""
-    planned = plan(spark, spec, split_bytes)
-    table = spark.createDataFrame(planned, "i long, a long, b long, row long, inside int").repartition(max(1, min(len(planned), 10_000)), "i")
+def total(splits: list[Split]) -> int:
+    return sum(s.rows for s in splits)
+
+
+def holding(splits: list[Split], numbers) -> list[Split]:
+    """The splits in which records of the given numbers start: row numbers, or a range of them."""
+    full = [s for s in splits if s.rows]
+    if isinstance(numbers, range):
+        return [s for s in full if s.row < numbers.stop and s.row + s.rows > numbers.start]
+    starts = [s.row for s in full]
+    wanted = {bisect_right(starts, n) - 1 for n in numbers if 0 <= n < total(full)}
+    return [full[i] for i in sorted(wanted)]
+
+
+def read_lines(spark: SparkSession, spec: SourceSpec, split_bytes: int = SPLIT_BYTES, splits: list[Split] | None = None) -> DataFrame:
+    """(row_no, byte_offset, line) of every record of the files, or of planned splits; offsets are those in a record's file."""
+    splits = plan(spark, spec, split_bytes) if splits is None else splits
+    quoted, encoding = spec.quoted, spec.encoding
 
     def read(batches):
         for batch in batches:
             for s in batch.to_pylist():
                 row, held = s["row"], []
-                for offset, raw in split_records(spec, s["a"], s["b"], s["i"] == 0, s["inside"]):
-                    held.append((row, offset, raw.decode(spec.encoding, "replace").removesuffix("\r")))
+                for offset, raw in split_records(Split(**s), quoted):
+                    held.append((row, offset, raw.decode(encoding, "replace").removesuffix("\r")))
                     row += 1
                     if len(held) == BATCH_RECORDS:
                         yield _batch(held)
@@ -124,7 +168,7 @@ def read_lines(spark: SparkSession, spec: SourceSpec, split_bytes: int = SPLIT_B
                 if held:
                     yield _batch(held)
 
-    return table.mapInArrow(read, SCHEMA)
+    return _table(spark, splits).mapInArrow(read, SCHEMA)
 
 
 def _batch(held) -> pa.RecordBatch:
@@ -132,14 +176,22 @@ def _batch(held) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], names=["row_no", "byte_offset", "line"])
 
 
-def anchors(lines: DataFrame, stride: int = 1000) -> DataFrame:
-    """(row_no, byte_offset) of each stride-th record."""
-    return lines.where(f"row_no % {stride} = 0").select("row_no", "byte_offset")
+def save_index(spark: SparkSession, spec: SourceSpec, splits: list[Split], folder: str) -> None:
+    """Keep planned splits as Parquet, with the size and the time of change of the data."""
+    spark.createDataFrame(splits, _SPLIT).withColumns({"size": F.lit(spec.size), "modified": F.lit(spec.modified)}).write.parquet(folder)
+
+
+def load_index(spark: SparkSession, spec: SourceSpec, folder: str) -> list[Split]:
+    """Splits that were kept for the data as it is; an error if it has changed since."""
+    rows = sorted(tuple(r) for r in spark.read.parquet(folder).collect())
+    if any(r[-2:] != (spec.size, spec.modified) for r in rows) or {r[1] for r in rows} - {p for p, _, _ in spec.regions()}:
+        raise SourceError("the data has changed since its index was written")
+    return [Split(*r[:-2]) for r in rows]
 
 
 class _Split(InputPartition):
-    def __init__(self, i, a, b):
-        self.i, self.a, self.b = i, a, b
+    def __init__(self, split):
+        self.split = split
 
 
 class RecordLines(DataSource):
@@ -162,8 +214,8 @@ class _Reader(DataSourceReader):
         self.split_bytes = int(options.get("splitbytes", SPLIT_BYTES))
 
     def partitions(self):
-        return [_Split(*s) for s in splits_of(self.spec, self.split_bytes)]
+        return [_Split(s) for s in splits_of(self.spec, self.split_bytes)]
 
     def read(self, partition):
-        for offset, raw in split_records(self.spec, partition.a, partition.b, partition.i == 0, 0):
+        for offset, raw in split_records(partition.split, False):
             yield offset, raw.decode(self.spec.encoding, "replace").removesuffix("\r")

@@ -21,7 +21,10 @@ class SourceError(ValueError):
 
 @dataclass(frozen=True)
 class SourceSpec:
-    """How the bytes of one file become records."""
+    """How the bytes of a file, or of many files in a row, become records.
+
+    parts: (path, data start, data end) of each file where there are many.
+    """
 
     path: str
     kind: str
@@ -38,12 +41,17 @@ class SourceSpec:
     mean_bytes: float = 0.0
     samples: tuple[tuple[str, ...], ...] = ()
     modified: float = 0.0
+    parts: tuple[tuple[str, int, int], ...] = ()
+
+    def regions(self) -> tuple[tuple[str, int, int], ...]:
+        return self.parts or ((self.path, self.data_start, self.data_end),)
 
     def estimate(self) -> int:
         """Number of records: as declared, else by the mean length in the sample."""
         if self.declared is not None:
             return self.declared
-        return max(1, round((self.data_end - self.data_start) / self.mean_bytes)) if self.mean_bytes else 0
+        size = sum(end - start for _, start, end in self.regions())
+        return max(1, round(size / self.mean_bytes)) if self.mean_bytes else 0
 
 
 @dataclass(frozen=True)

@@ -111,6 +111,19 @@ def test_search_regex(spark):
         search.Pattern(SearchSpec("(", regex=True))
 
 
+def test_regex_hits_with_control_characters_and_empty_matches(spark):
+    rows = table(spark, ["ab\0cd xx cd", "xx\1", "", "yxy"])
+    assert hits(rows, SearchSpec("cd", regex=True)) == [(0, 3), (0, 9)]
+    assert hits(rows, SearchSpec("x*", regex=True)) == [(0, i) for i in (0, 1, 2, 3, 4, 5, 6, 8, 9, 10, 11)] + [(1, 0), (1, 2), (1, 3), (2, 0), (3, 0), (3, 1), (3, 2), (3, 3)]
+    with pytest.raises(ValueError):
+        search.Pattern(SearchSpec("(?P<a>x)", regex=True))
+
+
+def test_many_hits_on_a_line(spark):
+    got = hits(table(spark, ["ax" * 3000, "xa" * 40]), SearchSpec("a", limit=10_000))
+    assert got == [(0, 2 * i) for i in range(3000)] + [(1, 2 * i + 1) for i in range(40)]
+
+
 def test_search_caps_hits_and_previews(spark):
     rows = table(spark, ["a" * 10, "é" * 400 + "a"])
     assert len(hits(rows, SearchSpec("a", limit=4))) == 4

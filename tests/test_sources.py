@@ -43,6 +43,52 @@ def test_quoted_line_feeds_at_every_split_size(spark, tmp_path):
         assert len(got) == 300 and got[7] == ["n7", 'line 7\nnext "7" \r\nlast']
 
 
+def test_folders_and_globs_are_read_in_the_order_of_names(spark, tmp_path):
+    for i, name in enumerate(("b.csv", "a.csv", "c.csv", "_skipped.csv", ".hidden.csv")):
+        put(tmp_path, name, ("\ufeff" if i == 2 else "") + "id;note\n" + "".join(f"{name}{k};\"x\n{k}\"\n" for k in range(50)))
+    put(tmp_path, "empty.csv", "")
+    put(tmp_path, "d.csv", "late;1")
+    for path in (str(tmp_path), f"{tmp_path}/*.csv", f"file://{tmp_path}"):
+        d = open_file(spark, path, kind="csv", split_bytes=300, header=True)
+        got = d.table.orderBy("row_no").collect()
+        assert [r.row_no for r in got] == list(range(151)) and d.count() == 151 and d.spec.columns == ("id", "note")
+        assert [list(got[i].cells) for i in (0, 50, 149, 150)] == [["a.csv0", "x\n0"], ["b.csv0", "x\n0"], ["c.csv49", "x\n49"], ["late", "1"]]
+    with pytest.raises(SourceError):
+        open_file(spark, f"{tmp_path}/*.json")
+
+
+def test_wrapped_records_over_many_files(spark, tmp_path):
+    put(tmp_path, "0.json", '{"rows": [\n{"a": 1},\n{"a": 2},\n')
+    put(tmp_path, "1.json", '{"a": 3},\n{"a": 4}\n')
+    put(tmp_path, "2.json", "]}\n")
+    assert lines(open_file(spark, str(tmp_path), kind="json")) == [["1"], ["2"], ["3"], ["4"]]
+
+
+def test_known_rows_are_read_from_their_splits_only(spark, tmp_path):
+    p = put(tmp_path, "n.csv", "".join(f"{i};v{i}\n" for i in range(20_000)))
+    d = open_file(spark, p, split_bytes=2000, header=False)
+    assert len(d.splits) > 90 and sum(s.rows for s in d.splits) == 20_000
+    read = d._read
+    seen = []
+    d._read = lambda splits: seen.append(len(splits)) or read(splits)
+    assert [r.row_no for r in d.rows(15_000, 30).collect()] == list(range(15_000, 15_030)) and seen[-1] <= 2
+    assert [r.row_no for r in d.fetch([19_999, 0, 0, 50_000]).collect()] == [19_999, 0, 0] and seen[-1] == 2
+    assert d.goto(7).first().cells == ["7", "v7"] and seen[-1] == 1
+    d.save_index(str(tmp_path / "index"))
+    again = open_file(spark, p, header=False, index=str(tmp_path / "index"))
+    assert again.splits == d.splits and again.rows(19_990, 100).count() == 10
+    put(tmp_path, "n.csv", "1;2\n3;4\n5;6\n")
+    assert d.source_changed()
+    with pytest.raises(SourceError):
+        open_file(spark, p, header=False, index=str(tmp_path / "index"))
+
+
+def test_search_from_an_offset(spark, tmp_path):
+    p = put(tmp_path, "s.csv", "ab;é;ab\nab;x;y\nq;ab;z\n")
+    got = open_file(spark, p, header=False).search("ab", case=True, from_offset=3).collect()
+    assert [(r.row_no, r.position, r.offset) for r in got] == [(0, 6, 6), (1, 0, 9), (2, 2, 18)]
+
+
 def test_quoted_records_are_cut_at_line_feeds_only(spark, tmp_path):
     marks = ["\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029", "\r", "\ue000"]
     body = "".join(f'{i},ab{c}cd,"x{c}\r\n""y{c}",end\n' for i, c in enumerate(marks))
