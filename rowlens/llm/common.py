@@ -45,14 +45,8 @@ def file_system(path: str):
     return FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (LocalFileSystem(), path)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a small table of ids and numbers with checkpoint()."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame, what: str) -> DataFrame:
-    """Cut the lineage of a larger table: written once as Parquet, read again."""
+    """Cut the lineage of a table: written once as Parquet in the shared folder, read again."""
     path = fresh_path(df.sparkSession, what)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)

@@ -59,7 +59,7 @@ SEGMENT, DMER = 16, 6
 SEGMENT_CHARS = 1 << 20
 THRESHOLDS = (1, 2, 3, 4, 5)
 #: Windows whose gains a worker keeps.
-TABLE_ENTRIES = 500_000
+TABLE_ENTRIES = 150_000
 
 _PUNCTUATION = b".,;:!?()[]\"'"
 
