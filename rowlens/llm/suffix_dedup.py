@@ -6,7 +6,7 @@ are refined by sorting on the bucket identifiers of later offsets, which are
 reused from round to round: the identifier of 20 bytes (the q-gram's) and that
 20 bytes on give one for 40, and that one and the one 10 bytes on give one for
 50, where refinement ends. Identifiers are names that depend on the bytes alone
-(96 bits where strings are told apart, 64 inside a bucket of equal q-grams), so
+(80 bits where strings are told apart, 64 inside a bucket of equal q-grams), so
 they are the same in all tasks and are never looked up.
 
 Sorting all suffixes of a corpus is out of reach, so buckets are first built for
@@ -62,19 +62,18 @@ PIECE = 1 << 15
 #: Bytes of text whose runs make one fragment.
 FRAGMENT_BYTES = 6 << 20
 #: Bytes of text, and open strings, that a Python worker holds at a time.
-HELD_BYTES, HELD_STRINGS = 16 << 20, 400_000
+HELD_BYTES, HELD_STRINGS = 3 << 20, 50_000
 
-#: Multipliers of the two independent names of the same bytes.
-_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
-_BYTES = [_mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(m)) for m in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
-_PAIR = np.uint64(0x9FB21C651E98DF25)
+#: Multipliers of names: of bytes in a gram, and of the parts of a pair.
+_BASE, _PAIR, _OTHER = 0x9E3779B97F4A7C15, np.uint64(0x9FB21C651E98DF25), np.uint64(0xD1342543DE82EF95)
+_BYTES = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 _OPEN = 1 << 15  # in a run's number: its bucket has several kinds of runs in the batch
 
 
-def grams(x: np.ndarray, lane: int = 0) -> np.ndarray:
+def grams(x: np.ndarray) -> np.ndarray:
     """Initial bucket identifiers: names of the GRAM bytes from each position on."""
-    power = lambda k: np.uint64(pow(_BASES[lane], k, 1 << 64))
-    h1 = _BYTES[lane][x]
+    power = lambda k: np.uint64(pow(_BASE, k, 1 << 64))
+    h1 = _BYTES[x]
     h2 = h1[:-1] + power(1) * h1[1:]
     h4 = h2[:-2] + power(2) * h2[2:]
     h8 = h4[:-4] + power(4) * h4[4:]
@@ -82,14 +81,16 @@ def grams(x: np.ndarray, lane: int = 0) -> np.ndarray:
     return _mix(h16[:-4] + power(16) * h4[16:])
 
 
-def refined(own: np.ndarray, offset: int) -> np.ndarray:
-    """Identifiers by the pair of the own one and the one at a later offset."""
-    return _mix(_mix(own[: len(own) - offset]) * _PAIR + own[offset:])
+def refined(own: np.ndarray, later: np.ndarray, by: np.uint64 = _PAIR) -> np.ndarray:
+    """Identifiers by pairs of the own one and the one at a later offset."""
+    return _mix(_mix(own) * by + later)
 
 
-def pointers(g: np.ndarray) -> np.ndarray:
-    """Identifiers of LENGTH bytes from those of GRAM bytes: 20, then 40, then 50."""
-    return refined(refined(g, GRAM), LENGTH - 2 * GRAM)
+def pointers(g: np.ndarray, at: np.ndarray, by: np.uint64 = _PAIR) -> np.ndarray:
+    """Identifiers of LENGTH bytes at places, from those of GRAM bytes: 20, then 40, then 50."""
+    step = LENGTH - 2 * GRAM
+    forty = refined(g[at], g[at + GRAM], by)
+    return refined(forty, refined(g[at + step], g[at + step + GRAM], by), by)
 
 
 def runs(x: np.ndarray, g: np.ndarray | None = None):
@@ -166,7 +167,7 @@ def _stretches(*columns: np.ndarray) -> np.ndarray:
 #: A fragment's runs: anchors, contents and numbers, then the rows and pieces that hold them in turn.
 _RUNS = ("<u4", "<u8", "<u2", "<u4", "<i8", "<i8", "<u4")
 #: A fragment's strings: two names and places, then the rows that hold them in turn.
-_STRINGS = ("<u8", "<u4", "<u4", "<u4", "<i8", "<i8")
+_STRINGS = ("<u8", "<u2", "<u4", "<u4", "<i8", "<i8")
 
 
 def _scan(fragments: int):
@@ -183,9 +184,8 @@ def _scan(fragments: int):
                     for k, raw in pieces(t.encode("utf-8", "surrogatepass")) if t else ():
                         g = grams(np.frombuffer(raw, np.uint8))
                         lo, hi, q, rel = runs(None, g)
-                        p = pointers(g)
                         qs.append(q)
-                        bs.append(_mix(_mix(p[lo]) * _PAIR + p[hi] + (rel * 64 + hi - lo).astype(np.uint64)))
+                        bs.append(refined(pointers(g, lo), pointers(g, hi)) + (rel * 64 + hi - lo).astype(np.uint64))
                         docs.append(np.full(len(q), r))
                         nos.append(np.arange(len(q)))
                         parts.append(np.full(len(q), k))
@@ -276,12 +276,11 @@ def _open_strings(fragments: int):
                     fs = by_piece[k]
                     no = np.setdiff1d(_numbers([o for f in fs for o in f["open"]]), _numbers([o for f in fs for o in f["goes"]]))
                     if len(no):
-                        x = np.frombuffer(raw, np.uint8)
-                        g = grams(x)
+                        g = grams(np.frombuffer(raw, np.uint8))
                         lo, hi, _, _ = runs(None, g)
                         n = hi[no] - lo[no] + 1
                         at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[no], n)
-                        held.add(doc, mark, pointers(g)[at], pointers(grams(x, 1))[at], at + k * PIECE)
+                        held.add(doc, mark, pointers(g, at), pointers(g, at, _OTHER), at + k * PIECE)
                 if held.n >= HELD_STRINGS:
                     yield held.batch()
                     held = _Strings(fragments)
@@ -300,7 +299,7 @@ class _Strings:
     def add(self, doc, mark, h, j, at):
         self.n += len(at)
         self.hs.append(h)
-        self.js.append(j >> np.uint64(32))
+        self.js.append(j >> np.uint64(48))
         self.ats.append(at)
         self.nos.append(np.full(len(at), self.rows.setdefault((doc, mark), len(self.rows))))
 
@@ -316,7 +315,7 @@ class _Strings:
             if len(s):
                 first = _stretches(no[s])
                 times, own = np.diff(first, append=len(s)).astype("<u4"), no[s[first]]
-                out.append((int(h[s[0]] % np.uint64(self.fragments)), _pack(h[s].astype("<u8"), j[s].astype("<u4"), at[s].astype("<u4"), times, docs[own].astype("<i8"), marks[own].astype("<i8")), 0, 0, None))
+                out.append((int(h[s[0]] % np.uint64(self.fragments)), _pack(h[s].astype("<u8"), j[s].astype("<u2"), at[s].astype("<u4"), times, docs[own].astype("<i8"), marks[own].astype("<i8")), 0, 0, None))
         out.extend((int(docs[r]) % self.fragments, None, int(docs[r]), int(marks[r]), places) for r, places in _by_row(no, at, goes))
         cols = list(zip(*out, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["fragment", "packed", "doc", "mark", "at"])
