@@ -20,9 +20,12 @@ def words(text: str | None) -> list[bytes]:
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * _A
-    h = (h ^ (h >> np.uint64(27))) * _B
-    return h ^ (h >> np.uint64(31))
+    out = h ^ (h >> np.uint64(30))
+    out *= _A
+    out ^= out >> np.uint64(27)
+    out *= _B
+    out ^= out >> np.uint64(31)
+    return out
 
 
 def fingerprints(ws: list[bytes], n: int) -> np.ndarray:

@@ -59,6 +59,8 @@ from rowlens.llm.token_text import slabs
 LENGTH, GRAM = 50, 20
 #: Strings that start in one piece of a text.
 PIECE = 1 << 15
+#: Bytes of pieces that are looked at together; a place in them has 16 bits.
+CHUNK = 1 << 16
 #: Bytes of text whose runs make one fragment.
 FRAGMENT_BYTES = 6 << 20
 #: Bytes of text, and open strings, that a Python worker holds at a time.
@@ -72,13 +74,15 @@ _OPEN = 1 << 15  # in a run's number: its bucket has several kinds of runs in th
 
 def grams(x: np.ndarray) -> np.ndarray:
     """Initial bucket identifiers: names of the GRAM bytes from each position on."""
-    power = lambda k: np.uint64(pow(_BASE, k, 1 << 64))
-    h1 = _BYTES[x]
-    h2 = h1[:-1] + power(1) * h1[1:]
-    h4 = h2[:-2] + power(2) * h2[2:]
-    h8 = h4[:-4] + power(4) * h4[4:]
-    h16 = h8[:-8] + power(8) * h8[8:]
-    return _mix(h16[:-4] + power(16) * h4[16:])
+    h = _BYTES[x]
+    four = None
+    for k in (1, 2, 4, 8):
+        more = h[k:] * np.uint64(pow(_BASE, k, 1 << 64))
+        more += h[:-k]
+        h, four = more, more if k == 2 else four
+    last = four[16:] * np.uint64(pow(_BASE, 16, 1 << 64))
+    last += h[:-4]
+    return _mix(last)
 
 
 def refined(own: np.ndarray, later: np.ndarray, by: np.uint64 = _PAIR) -> np.ndarray:
@@ -93,18 +97,51 @@ def pointers(g: np.ndarray, at: np.ndarray, by: np.uint64 = _PAIR) -> np.ndarray
     return refined(forty, refined(g[at + step], g[at + step + GRAM], by), by)
 
 
-def runs(x: np.ndarray, g: np.ndarray | None = None):
-    """(first string, last string, anchor's identifier, its place) of the runs of one piece."""
-    g = grams(x) if g is None else g
-    width = LENGTH - GRAM + 1
-    m = (g & ~np.uint64(0xFFFF)) | np.arange(len(g), dtype=np.uint64)
-    for step in (1, 2, 4, 8):
-        m = np.minimum(m[:-step], m[step:])
-    m = np.minimum(m[: len(g) - width + 1], m[width - 16 :])
-    at = (m & np.uint64(0xFFFF)).astype(np.int64)
-    lo = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1])
-    hi = np.concatenate([lo[1:] - 1, [len(at) - 1]])
-    return lo, hi, g[at[lo]], at[lo] - lo
+class Runs:
+    """Pieces laid end to end: identifiers of their grams, and the runs of each piece in turn.
+
+    lo, hi: first and last string of a run; anchor, rel: its anchor's identifier
+    and place in the first string; base: where pieces start; first: number of
+    the first run of each piece, and of all runs.
+    """
+
+    def __init__(self, raws: list[bytes]):
+        ends = np.cumsum([len(r) for r in raws])
+        self.base = np.concatenate([[0], ends[:-1]])
+        self.g = g = grams(np.frombuffer(b"".join(raws), np.uint8))
+        width = LENGTH - GRAM + 1
+        m = g & ~np.uint64(0xFFFF)
+        m |= np.arange(len(g), dtype=np.uint64)
+        for step in (1, 2, 4, 8):
+            m = np.minimum(m[:-step], m[step:])
+        m = np.minimum(m[: len(g) - width + 1], m[width - 16 :])
+        m &= np.uint64(0xFFFF)
+        at = m.view(np.int64)
+        at[(ends[:-1, None] - np.arange(1, LENGTH)).ravel()] = -1  # strings that would go on in the next piece
+        lo = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1])
+        hi = np.concatenate([lo[1:] - 1, [len(at) - 1]])
+        inside = at[lo] >= 0
+        self.lo, self.hi = lo[inside], hi[inside]
+        place = at[self.lo]
+        self.anchor, self.rel = g[place], place - self.lo
+        self.first = np.concatenate([np.searchsorted(self.lo, self.base), [len(self.lo)]])
+
+    def of(self, i: int) -> slice:
+        return slice(self.first[i], self.first[i + 1])
+
+
+def chunks(pieces):
+    """(tags, runs) of pieces (tag, bytes), as many at a time as CHUNK bytes hold."""
+    tags, raws, n = [], [], 0
+    for tag, raw in pieces:
+        if raws and n + len(raw) > CHUNK:
+            yield tags, Runs(raws)
+            tags, raws, n = [], [], 0
+        tags.append(tag)
+        raws.append(raw)
+        n += len(raw)
+    if raws:
+        yield tags, Runs(raws)
 
 
 def pieces(raw: bytes):
@@ -179,16 +216,14 @@ def _scan(fragments: int):
                 ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
                 rows, qs, bs, docs, nos, parts = np.argsort(ids, kind="stable"), [], [], [], [], []
                 marks = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-                for r in rows:
-                    t = batch.column(2)[int(r)].as_py()
-                    for k, raw in pieces(t.encode("utf-8", "surrogatepass")) if t else ():
-                        g = grams(np.frombuffer(raw, np.uint8))
-                        lo, hi, q, rel = runs(None, g)
-                        qs.append(q)
-                        bs.append(refined(pointers(g, lo), pointers(g, hi)) + (rel * 64 + hi - lo).astype(np.uint64))
-                        docs.append(np.full(len(q), r))
-                        nos.append(np.arange(len(q)))
-                        parts.append(np.full(len(q), k))
+                texts = ((r, batch.column(2)[int(r)].as_py() or "") for r in rows)
+                for tags, c in chunks(((r, k), raw) for r, t in texts for k, raw in pieces(t.encode("utf-8", "surrogatepass"))):
+                    qs.append(c.anchor)
+                    bs.append(refined(pointers(c.g, c.lo), pointers(c.g, c.hi)) + (c.rel * 64 + c.hi - c.lo).astype(np.uint64))
+                    times = np.diff(c.first)
+                    docs.append(np.repeat([r for r, _ in tags], times))
+                    nos.append(np.arange(len(c.lo)) - np.repeat(c.first[:-1], times))
+                    parts.append(np.repeat([k for _, k in tags], times))
                 if not qs:
                     continue
                 q, b, row, no, part = map(np.concatenate, (qs, bs, docs, nos, parts))
@@ -261,29 +296,35 @@ def _numbers(parts) -> np.ndarray:
 
 def _open_strings(fragments: int):
     """Strings of open runs, packed by fragment; those that go within a batch."""
-    def run(batches):
-        held = _Strings(fragments)
+    def wanted(batches):
         for batch in batches:
             for j in range(batch.num_rows):
-                doc, mark, text, flags = (batch.column(i)[j].as_py() for i in range(4))
+                flags = batch.column(3)[j].as_py()
                 by_piece: dict[int, list] = {}
                 for f in flags:
                     by_piece.setdefault(f["piece"], []).append(f)
                 by_piece = {k: fs for k, fs in by_piece.items() if any(o for f in fs for o in f["open"])}
-                for k, raw in pieces(text.encode("utf-8", "surrogatepass")) if by_piece else ():
-                    if k not in by_piece:
-                        continue
-                    fs = by_piece[k]
-                    no = np.setdiff1d(_numbers([o for f in fs for o in f["open"]]), _numbers([o for f in fs for o in f["goes"]]))
-                    if len(no):
-                        g = grams(np.frombuffer(raw, np.uint8))
-                        lo, hi, _, _ = runs(None, g)
-                        n = hi[no] - lo[no] + 1
-                        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[no], n)
-                        held.add(doc, mark, pointers(g, at), pointers(g, at, _OTHER), at + k * PIECE)
-                if held.n >= HELD_STRINGS:
-                    yield held.batch()
-                    held = _Strings(fragments)
+                if not by_piece:
+                    continue
+                doc, mark, text = (batch.column(i)[j].as_py() for i in range(3))
+                for k, raw in pieces(text.encode("utf-8", "surrogatepass")):
+                    if k in by_piece:
+                        no = np.setdiff1d(_numbers([o for f in by_piece[k] for o in f["open"]]), _numbers([o for f in by_piece[k] for o in f["goes"]]))
+                        if len(no):
+                            yield (doc, mark, k, no), raw
+
+    def run(batches):
+        held = _Strings(fragments)
+        for tags, c in chunks(wanted(batches)):
+            no = np.concatenate([c.first[i] + tag[3] for i, tag in enumerate(tags)])
+            n = c.hi[no] - c.lo[no] + 1
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(c.lo[no], n)
+            of = np.searchsorted(c.base, at, side="right") - 1
+            place = at + (np.array([k for _, _, k, _ in tags]) * PIECE - c.base)[of]
+            held.add([tag[:2] for tag in tags], of, pointers(c.g, at), pointers(c.g, at, _OTHER), place)
+            if held.n >= HELD_STRINGS:
+                yield held.batch()
+                held = _Strings(fragments)
         if held.n:
             yield held.batch()
 
@@ -296,12 +337,13 @@ class _Strings:
     def __init__(self, fragments: int):
         self.fragments, self.n, self.rows, self.hs, self.js, self.ats, self.nos = fragments, 0, {}, [], [], [], []
 
-    def add(self, doc, mark, h, j, at):
+    def add(self, rows: list, of, h, j, at):
+        """Strings at places of rows (doc, mark); of: which row in the list."""
         self.n += len(at)
         self.hs.append(h)
         self.js.append(j >> np.uint64(48))
         self.ats.append(at)
-        self.nos.append(np.full(len(at), self.rows.setdefault((doc, mark), len(self.rows))))
+        self.nos.append(np.array([self.rows.setdefault(r, len(self.rows)) for r in rows])[of])
 
     def batch(self) -> pa.RecordBatch:
         h, j, at, no = map(np.concatenate, (self.hs, self.js, self.ats, self.nos))
@@ -361,29 +403,30 @@ def _later_strings(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
 
 def _cut_texts(batches):
     """(doc, mark, n_removed, n_spans, kept_sha256) of texts with their flags."""
-    for batch in batches:
-        out = []
-        for j in range(batch.num_rows):
-            doc, mark, text, flags, single = (batch.column(i)[j].as_py() for i in range(5))
-            raw = text.encode("utf-8", "surrogatepass")
-            edge = np.zeros(len(raw) + 1, np.int32)
-            held = {f["piece"]: f for f in flags}
-            for k, part in pieces(raw):
-                if k in held:
-                    no = _numbers(held[k]["goes"])
-                    lo, hi, _, _ = runs(np.frombuffer(part, np.uint8))
-                    np.add.at(edge, lo[no] + k * PIECE, 1)
-                    np.add.at(edge, hi[no] + LENGTH + k * PIECE, -1)
-            if single:
-                at = np.unique(np.frombuffer(b"".join(single), "<u4").astype(np.int64))
-                np.add.at(edge, at, 1)
-                np.add.at(edge, at + LENGTH, -1)
-            gone = np.cumsum(edge[:-1]) > 0
-            kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-            spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-            out.append((doc, mark, int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
-        cols = list(zip(*out, strict=True)) or [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["doc", "mark", "n_removed", "n_spans", "kept_sha256"])
+    for whole in batches:
+        for start, end in slabs([n or 0 for n in pc.binary_length(whole.column(2)).to_pylist()], HELD_BYTES):
+            doc, mark, texts, flags, singles = (whole.column(i).slice(start, end - start).to_pylist() for i in range(5))
+            raws = [t.encode("utf-8", "surrogatepass") for t in texts]
+            edges = [np.zeros(len(raw) + 1, np.int32) for raw in raws]
+            goes = [{f["piece"]: _numbers(f["goes"]) for f in fs} for fs in flags]
+            held = (((r, k, goes[r][k]), part) for r, raw in enumerate(raws) for k, part in pieces(raw) if len(goes[r].get(k, ())))
+            for tags, c in chunks(held):
+                for i, (r, k, no) in enumerate(tags):
+                    shift = k * PIECE - c.base[i]
+                    edges[r][c.lo[c.of(i)][no] + shift] += 1
+                    edges[r][c.hi[c.of(i)][no] + LENGTH + shift] -= 1
+            out = []
+            for r, (raw, edge, single) in enumerate(zip(raws, edges, singles, strict=True)):
+                if single:
+                    at = np.unique(np.frombuffer(b"".join(single), "<u4").astype(np.int64))
+                    edge[at] += 1
+                    edge[at + LENGTH] -= 1
+                gone = np.cumsum(edge[:-1]) > 0
+                kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
+                spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
+                out.append((doc[r], mark[r], int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
+            cols = list(zip(*out, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["doc", "mark", "n_removed", "n_spans", "kept_sha256"])
 
 
 def _bucketed(df: DataFrame, what: str, keys: list[str]) -> DataFrame:
